@@ -274,7 +274,9 @@ def judged(found: DataFrame) -> DataFrame:
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that aren't contaminated, with the columns they came with."""
     names = documents.columns
-    return judged(find(documents.select(F.struct(*names).alias("_row"), F.col("text").alias("text")), benchmark)).where(~F.col("contaminated")).select(*[F.col("_row")[c].alias(c) for c in names])
+    renamed = documents.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes
+    found = judged(find(renamed, benchmark, text=f"c{names.index('text')}")).where(~F.col("contaminated"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _ROUTED = "_shard int, _bucket int, data binary"
 
@@ -72,20 +73,27 @@ def even_ids(n: int) -> tuple[int, ...]:
 
 
 class Exchange:
-    """The shards of a table; key: the id, text: the text; both may be null."""
+    """The shards of a table; key: the id, text: the text; both may be null. rest: other columns that travel along, as a struct."""
 
-    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None):
+    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None, rest: list[str] | None = None):
         spark = df.sparkSession
         self.n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.ids = even_ids(self.n)
         ids = F.array(*map(F.lit, self.ids))
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+        more = [F.struct(*rest).alias("rest")] if rest else []
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *more)
+        self.rest = rows.schema["rest"].dataType if rest else None
         place: Column = F.pmod(F.xxhash64("id", "text"), F.lit(self.n)).cast("int")
         self.rows = rows.withColumn("_shard", F.element_at(ids, place + 1)).repartition(self.n, "_shard")
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "rows"}  # executors need the numbers only
 
+    def with_rest(self, schema: str) -> StructType:
+        """A result schema that ends with the struct of the rest, where there is one."""
+        fields = StructType.fromDDL(schema).fields
+        return StructType([*fields, StructField("rest", self.rest)] if self.rest else fields)
+
     def bounds(self) -> np.ndarray:
         """Where the key range of each bucket but the first begins."""
         return np.array([(i << 64) // self.n for i in range(1, self.n)], np.uint64)
@@ -98,6 +106,20 @@ class Exchange:
     def routed(found: list[tuple[int, int, bytes]]) -> pa.Table:
         return pa.table({"_shard": pa.array([x[0] for x in found], pa.int32()), "_bucket": pa.array([x[1] for x in found], pa.int32()), "data": pa.array([x[2] for x in found], pa.binary())})
 
+    def nothing(self) -> DataFrame:
+        """No answers."""
+        return self.rows.sparkSession.createDataFrame([], _ROUTED)
+
+    def tell(self, rows: DataFrame) -> DataFrame:
+        """Rows (_shard, item, value) as an answer to each shard: packed items and values."""
+        routed = self.routed
+
+        def run(table: pa.Table) -> pa.Table:
+            shard = table.column("_shard")[0].as_py()
+            return routed([(shard, shard, pack(table.column("item").to_numpy(), table.column("value").to_numpy()))])
+
+        return rows.select(F.col("_shard").cast("int"), F.col("item").cast("long"), F.col("value").cast("long")).repartition(self.n, "_shard").groupBy("_shard").applyInArrow(run, _ROUTED)
+
     def ask(self, question: Callable[[int, pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
         """question(shard, rows) gives (bucket number, data); each bucket number is 0..n-1."""
         routed, ids = self.routed, self.ids
@@ -119,8 +141,10 @@ class Exchange:
 
         return questions.repartition(self.n, "_bucket").groupBy("_bucket").applyInArrow(run, _ROUTED)
 
-    def back(self, answers: DataFrame, use: Callable[[int, pa.Table, list[tuple[int, tuple]]], pa.Table], schema: str) -> DataFrame:
-        """use(shard, rows, (bucket number, unpacked answer) in order of buckets) gives rows of the schema."""
+    def back(self, answers: DataFrame, use: Callable[[int, pa.Table, list[tuple[int, tuple]]], pa.Table], schema: str | StructType) -> DataFrame:
+        """`answers` are dealt to the shards they are for.
+
+        use(shard, rows, (bucket number, unpacked answer) in order of buckets) gives rows of the schema."""
         number = {x: i for i, x in enumerate(self.ids)}
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -131,12 +155,20 @@ class Exchange:
         return self.rows.groupBy("_shard").cogroup(answers.repartition(self.n, "_shard").groupBy("_shard")).applyInArrow(run, schema)
 
 
+#: Stands for a null id among numbers.
+NO_ID = 2**63 - 1
+
+
+def row_ids(table: pa.Table) -> np.ndarray:
+    return np.asarray(pc.fill_null(table.column("id"), NO_ID)).astype(np.int64)
+
+
 def ordered(table: pa.Table) -> pa.Table:
-    """Rows in order of id, then text."""
+    """Rows in order of id (nulls last), then text."""
     if table.num_rows < 2:
         return table.combine_chunks()
     ids = table.column("id")
-    order = np.lexsort((np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_valid(ids))))
+    order = np.lexsort((np.asarray(pc.fill_null(ids, 0)), ~np.asarray(pc.is_valid(ids))))
     table = table.take(pa.array(order))
     ids = np.asarray(pc.fill_null(table.column("id"), 0))
     valid = np.asarray(pc.is_valid(table.column("id")))
