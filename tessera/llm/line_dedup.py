@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exchange import Exchange, row_ids
 from tessera.llm.setjoin import Join, Sets, frequent_elements
-from tessera.llm.store import written
 from tessera.llm.textops import SPACE_WORDS, Words, column_bytes
 
 PERCENT = 80
@@ -35,10 +34,12 @@ class Lines:
         self.end[self.rows[1:] - 1] = offs[1:]
         self.row = np.repeat(np.arange(len(offs) - 1), counts)
 
-    def words(self) -> Words:
+    def words(self, which: np.ndarray | None = None) -> Words:
+        """The words of all lines, or of some."""
         n = len(self.start)
         offs = np.append(self.start, len(self.bytes)).astype(np.int64)
-        return Words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(self.bytes))]), SPACE_WORDS, lower=True)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(self.bytes))])
+        return Words(column if which is None else column.take(pa.array(which)), SPACE_WORDS, lower=True)
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray, int]:
@@ -47,8 +48,10 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, int]:
     return words.row_of(), words.hash, len(words.rows) - 1
 
 
-def _items(table: pa.Table, frequent):
-    return Sets(*tokens(table.column("text")), frequent), row_ids(table)[Lines(table.column("text")).row]
+def _items(table: pa.Table, frequent, which):
+    lines = Lines(table.column("text"))
+    words = lines.words(which)
+    return Sets(words.row_of(), words.hash, len(words.rows) - 1, frequent), row_ids(table)[lines.row]
 
 
 def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
@@ -59,14 +62,12 @@ def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id
     # of two linked lines the later one goes
     here, there = F.struct("id", "shard", "item"), F.struct("other_id", "other_shard", "other_item")
     later = lambda links: links.select(F.when(here > there, here).otherwise(F.struct(F.col("other_id").alias("id"), F.col("other_shard").alias("shard"), F.col("other_item").alias("item"))).alias("x")).select(F.col("x.shard").alias("_shard"), F.col("x.item").alias("item"), F.lit(1).alias("value")).distinct()
-    first = written(later(join.stars()))
-    more = written(later(join.lists(shards.tell(first), lambda a, b: b == 0, lambda shard, m: np.zeros(m, np.int64))))
-    sets_of = join.sets
+    first = shards.tell(later(join.stars()))
+    more = shards.tell(later(join.lists(first, lambda a, b: (a == 0) | (b == 0), lambda shard, items: np.zeros(len(items), np.int64))))
 
     def use(shard: int, table: pa.Table, got) -> pa.Table:
-        sets, _, _, first_of = sets_of(table)
         lines = Lines(table.column("text"))
-        gone = (first_of != np.arange(len(first_of))) & (sets.size > 0)
+        gone = np.zeros(len(lines.start), bool)
         for _, (item, _) in got:
             gone[item] = True
         keep = ~gone
@@ -90,7 +91,7 @@ def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id
         more = {"rest": table.column("rest")} if rest else {}
         return pa.table({"doc_id": table.column("id"), "kept": out, "n_lines": pa.array(np.diff(lines.rows), pa.int64()), "n_removed": pa.array(total[lines.rows[1:]] - total[lines.rows[:-1]], pa.int64()), **more})
 
-    return shards.back(shards.tell(first.union(more).distinct()), use, shards.with_rest("doc_id long, kept string, n_lines long, n_removed long"))
+    return shards.back(first.union(more), use, shards.with_rest("doc_id long, kept string, n_lines long, n_removed long"))
 
 
 def report(documents: DataFrame) -> DataFrame:

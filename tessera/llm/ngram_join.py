@@ -45,8 +45,8 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
     def batch_ngrams(batch):
         return ngrams(batch.column(0), n)
 
-    def items(table: pa.Table, frequent):
-        item, value, rows = ngrams(table.column("text"), n)
+    def items(table: pa.Table, frequent, which):
+        item, value, rows = ngrams(table.column("text") if which is None else table.column("text").take(pa.array(which)), n)
         return Sets(item, value, rows, frequent), row_ids(table)
 
     frequent = frequent_elements(documents.select(text), batch_ngrams)
@@ -57,7 +57,7 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
     first = written(join.stars())
     joined = components(nodes(first))
     own = lambda rows: rows.select(F.shiftright("node", 32).cast("int").alias("_shard"), (F.col("node") % _GID).alias("item"), "value")
-    more = written(join.lists(shards.tell(own(joined.withColumnRenamed("root", "value"))), lambda a, b: a != b, lambda shard, m: shard * _GID + np.arange(m)))
+    more = written(join.lists(shards.tell(own(joined.withColumnRenamed("root", "value"))), lambda a, b: a != b, lambda shard, items: shard * _GID + items))
     joined = written(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(nodes(more))))
     named = names(first).union(names(more)).distinct().join(joined, "node")
     least = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"))

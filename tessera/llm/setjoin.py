@@ -5,7 +5,7 @@ few (prefix filter); their sizes, the places of that element and a parity sketch
 position and sketch filters). What passes is searched: the lists of a query's elements are merged except for the longest,
 and what the merge leaves possible is probed in those (DivideSkip); sets with the overlap required are links.
 
-It runs in two rounds. Stars: sets with an equal min-hash are compared with the first such set only, which joins nearly all
+It runs in two rounds. Stars: sets with an equal key of min-hashes are compared with the first such set only, which joins nearly all
 near copies at a cost linear in their number. Lists: all other pairs that pass the filters. The caller's `state` of
 the sets says which pairs the second round may leave out (those in one component, or those that decide nothing).
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exchange import Exchange, pack
 from tessera.llm.store import written
-from tessera.llm.textops import mix
+from tessera.llm.textops import mix, sliced
 
-#: Min-hashes of a set in the first round.
-STARS = 4
-#: An element is frequent if more than one in so many sets of a shard hold it; at most SPREAD x mean size are.
-SPREAD = 200
+#: Keys of a set in the first round, and min-hashes of each key.
+STARS, DEPTH = 4, 4
+#: An element is frequent if more than one in so many sets hold it; at most SPREAD x mean size are.
+SPREAD = 20_000
 _LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long"
 
 
@@ -38,13 +38,17 @@ class Sets:
 
     def __init__(self, item: np.ndarray, value: np.ndarray, items: int, frequent: dict | tuple = ((), ())):
         heavy, rank = np.asarray(frequent[0], np.uint64), np.asarray(frequent[1], np.int64)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         item, value = item[order], value[order]
         level = np.zeros(len(value), np.int64)
         if len(heavy):
             at = np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)
             level = np.where(heavy[at] == value, rank[at] + 1, 0)
-        order = np.argsort(item * (int(level.max(initial=0)) + 1) + level, kind="stable")
+        # by item and level; the place among the sorted values settles the rest
+        bits = max(1, int(len(value)).bit_length())
+        key = (item * (int(level.max(initial=0)) + 1) + level) << bits | np.arange(len(value))
+        key.sort()
+        order = key & (1 << bits) - 1
         item, value = item[order], value[order]
         fresh = np.ones(len(item), bool)
         fresh[1:] = (item[1:] != item[:-1]) | (value[1:] != value[:-1])
@@ -67,8 +71,12 @@ class Sets:
         """Bit j is the parity of the number of elements that hash to j."""
         return self._reduce(np.bitwise_xor, np.uint64(1) << (mix(self.values + np.uint64(99)) >> np.uint64(58)))
 
-    def minima(self, j: int) -> np.ndarray:
-        return mix(self._reduce(np.minimum, mix(self.values * np.uint64(2 * j + 3) + np.uint64(j))) + np.uint64(j))
+    def star_keys(self, j: int) -> np.ndarray:
+        """Key j of each set: a hash of several of its min-hashes."""
+        key = np.full(len(self.size), j, np.uint64)
+        for i in range(j * DEPTH, (j + 1) * DEPTH):
+            key = mix(key * np.uint64(3) + self._reduce(np.minimum, mix(self.values * np.uint64(2 * i + 3) + np.uint64(i))))
+        return key
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and elements of some sets."""
@@ -128,7 +136,8 @@ def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Join:
     """The join over the items of a table's shards.
 
-    items(table, frequent) gives the sets of a shard, and the id of each set's row; percent: the similarity in percent.
+    items(table, frequent, which) gives the sets of a shard (of the items `which` only, where it isn't None), and the id of
+    each item's row; percent: the similarity in percent.
     Items are in order of their row's id; the first of equal sets stands for all of them in its shard.
     """
 
@@ -137,18 +146,24 @@ class Join:
 
     def sets(self, table: pa.Table):
         """Sets, ids, and those items that stand for themselves and others."""
-        sets, ids = self.items(table, self.frequent)
+        sets, ids = self.items(table, self.frequent, None)
         _, first, place = np.unique(sets.names(), return_index=True, return_inverse=True)
         own = first[place] == np.arange(len(place))
         return sets, ids, np.flatnonzero(own & (sets.size > 0)), first[place]
 
+    def subset(self, table: pa.Table, item: np.ndarray):
+        """Sets and ids of the distinct ones of some items, these, and the place of each item among them."""
+        which, at = np.unique(item, return_inverse=True)
+        sets, ids = self.items(table, self.frequent, which)
+        return sets, ids[which], which, at
+
     def stars(self) -> DataFrame:
-        """Links between sets and the first set of equal min-hash."""
-        shards, sets_of, percent = self.shards, self.sets, self.percent
+        """Links between sets and the first set of equal key, and between equal sets of a shard."""
+        shards, sets_of, subset, percent = self.shards, self.sets, self.subset, self.percent
 
         def question(shard, table):
             sets, ids, own, _ = sets_of(table)
-            keys = np.concatenate([sets.minima(j)[own] for j in range(STARS)]) if len(own) else np.zeros(0, np.uint64)
+            keys = np.concatenate([sets.star_keys(j)[own] for j in range(STARS)]) if len(own) else np.zeros(0, np.uint64)
             keys, first, times = np.unique(keys, return_index=True, return_counts=True)  # the first item of a key is the least
             item = own[first % max(len(own), 1)]
             cut = shards.cuts(keys)
@@ -171,24 +186,27 @@ class Join:
             """The first sets, to the shards that hold others of their keys."""
             out = []
             if got:
-                sets, ids, *_ = sets_of(table)
-                item, to, key = (np.concatenate([a[k] for _, a in got]) for k in range(3))
+                item, to, key = (np.concatenate([a[k] for _, a in got]).astype(np.uint64 if k == 2 else np.int64) for k in range(3))
+                sets, ids, item, at = subset(table, item)
                 for s in np.unique(to):
                     on = to == s
-                    which, place = np.unique(item[on], return_inverse=True)
-                    out.append((int(s), shard, pack(which, ids[which], *sets.take(which), key[on], place)))
+                    which, place = np.unique(at[on], return_inverse=True)
+                    out.append((int(s), shard, pack(item[which], ids[which], *sets.take(which), key[on], place)))
             return shards.routed(out)
 
         def verify(shard, table, got):
             links = _links()
+            sets, ids, own, first_of = sets_of(table)
+            copies = np.flatnonzero((first_of != np.arange(len(first_of))) & (sets.size > 0))
+            for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first_of[copies], ids[first_of[copies]]), strict=True):
+                column.append(x)
             if got:
-                sets, ids, own, _ = sets_of(table)
-                minima = [sets.minima(j) for j in range(STARS)]
+                starred = [sets.star_keys(j)[own] for j in range(STARS)]
                 source, item, other_id, sizes, values = _received(shards, got)
                 keys = np.concatenate([a[4] for _, a in got])
                 index = Inverted(sizes, values)
-                asked = own[np.any([np.isin(m[own], keys) for m in minima], axis=0)]
-                _search(links, sets, ids, asked, shard, index, source, item, other_id, percent)
+                asked = own[np.any([np.isin(x, keys) for x in starred], axis=0)]
+                _search(links, sets, ids, asked, np.arange(len(ids)), shard, index, source, item, other_id, percent)
             return _table(links)
 
         return shards.back(shards.back(shards.answer(shards.ask(question), reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
@@ -196,14 +214,14 @@ class Join:
     def lists(self, states: DataFrame | None, may_differ: Callable[[np.ndarray, np.ndarray], np.ndarray], default: Callable) -> DataFrame:
         """Links between sets that share a prefix element and pass the filters.
 
-        states: (_shard, _bucket, data) with packed (items, states); default(shard, number) gives the state of items that have none.
-        may_differ(earlier state, later state) says which pairs matter.
+        states: (_shard, _bucket, data) with packed (items, states); default(shard, items) gives the state of items that have none.
+        may_differ(state, other state) says which pairs matter.
         """
-        shards, sets_of, percent = self.shards, self.sets, self.percent
+        shards, sets_of, subset, percent = self.shards, self.sets, self.subset, self.percent
 
         def question(shard, table, got):
             sets, ids, own, _ = sets_of(table)
-            state = default(shard, len(ids))
+            state = default(shard, np.arange(len(ids)))
             for _, (which, value) in got:
                 state[which] = value
             n = np.zeros(len(ids), np.int64)
@@ -214,80 +232,86 @@ class Join:
             order = np.argsort(value, kind="stable")
             value, item, place = value[order], item[order], place[order]
             sketch = sets.sketches()
+            odd = state != default(shard, np.arange(len(ids)))
             cut = shards.cuts(value)
             out = []
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     i = item[x:y]
-                    who, at = np.unique(i, return_inverse=True)
-                    out.append((shard, shards.ids[b], pack(value[x:y], at.astype(np.uint32), place[x:y].astype(np.uint32), who.astype(np.uint32), ids[who], sets.size[who].astype(np.uint32), sketch[who], state[who])))
+                    told = np.flatnonzero(odd[i])
+                    out.append((shard, shards.ids[b], pack(value[x:y], _small(i), _small(place[x:y]), _small(sets.size[i]), sketch[i], _small(told), state[i[told]])))
             return shards.routed(out)
 
         def reply(got):
             value = np.concatenate([q[0] for _, q in got])
-            base = np.cumsum([0] + [len(q[3]) for _, q in got])
-            who = np.concatenate([q[1].astype(np.int64) + b for (_, q), b in zip(got, base, strict=False)])
-            place = np.concatenate([q[2] for _, q in got]).astype(np.int64)
-            item, ids, size, sketch, state = (np.concatenate([q[k] for _, q in got]) for k in range(3, 8))
-            size = size.astype(np.int64)
-            shard = np.repeat([s for s, _ in got], np.diff(base))
-            order_of = np.empty(len(item), np.int64)
-            order_of[np.lexsort((item, shard, ids))] = np.arange(len(item))
+            counts = np.array([len(q[0]) for _, q in got])
+            shard = np.repeat(np.array([s for s, _ in got], np.int64), counts)
+            item, place, size = (np.concatenate([q[k] for _, q in got]).astype(np.int64) for k in (1, 2, 3))
+            sketch = np.concatenate([q[4] for _, q in got])
+            state = default(shard, item)
+            state[np.concatenate([q[5] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)] = np.concatenate([q[6] for _, q in got])
             order = np.argsort(value, kind="stable")
-            v = value[order]
-            start = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(v)))
-            order = order[np.repeat(n > 1, n)]
-            order = order[np.lexsort((order_of[who[order]], value[order]))]
-            v, who, place = value[order], who[order], place[order]
-            start = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(v)))
-            head, end = np.repeat(start, n), np.repeat(start + n, n)
+            start = _starts(value[order])
+            n = np.diff(np.append(start, len(value)))
+            order = order[np.repeat(n > 1, n)]  # lists of one decide nothing
+            shard, item, place, size, sketch, state, value = (x[order] for x in (shard, item, place, size, sketch, state, value))
+            start = _starts(value)
+            n = np.diff(np.append(start, len(value)))
+            end = np.repeat(start + n, n)
             pairs = []
-            at, step = np.arange(len(v)), 1  # element i against element i + step of its list
+            at, step = np.arange(len(value)), 1  # element i against element i + step of its list
             while True:
                 at = at[at + step < end[at]]
                 if not len(at):
                     break
-                x, y = who[at], who[at + step]
+                x, y = at, at + step
                 a, b = size[x], size[y]
                 t = required(percent, a, b)
-                ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - place[at], b - place[at + step]) >= t)
-                ok &= np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * t
-                ok &= may_differ(state[x], state[y])
+                ok = (np.minimum(a - place[x], b - place[y]) >= t) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
+                ok = (np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * t) & may_differ(state[x], state[y])
                 if ok.any():
-                    pairs.append(np.stack([x[ok], y[ok]]))
-                    if sum(p.shape[1] for p in pairs) > 2_000_000:
+                    pairs.append(np.stack([shard[x[ok]], item[x[ok]], shard[y[ok]], item[y[ok]]]))
+                    if sum(p.shape[1] for p in pairs) > 1_000_000:
                         pairs = [np.unique(np.concatenate(pairs, 1), axis=1)]
                 step += 1
             if not pairs:
                 return []
-            x, y = np.unique(np.concatenate(pairs, 1), axis=1)
-            return [(int(s), pack(item[x[shard[x] == s]], shard[y[shard[x] == s]], item[y[shard[x] == s]])) for s in np.unique(shard[x])]
+            p = np.unique(np.concatenate(pairs, 1), axis=1)
+            return [(int(s), pack(_small(p[1, p[0] == s]), _small(p[2, p[0] == s]), _small(p[3, p[0] == s]))) for s in np.unique(p[0])]
 
         def send(shard, table, got):
             out = []
             if got:
-                sets, ids, *_ = sets_of(table)
-                item, to, other = (np.concatenate([a[k] for _, a in got]) for k in range(3))
+                item, to, other = (np.concatenate([a[k] for _, a in got]).astype(np.int64) for k in range(3))
+                sets, ids, item, at = subset(table, item)
                 for s in np.unique(to):
-                    which, place = np.unique(item[to == s], return_inverse=True)
-                    out.append((int(s), shard, pack(which, ids[which], *sets.take(which), other[to == s], place)))
+                    which, place = np.unique(at[to == s], return_inverse=True)
+                    out.append((int(s), shard, pack(item[which], ids[which], *sets.take(which), other[to == s], place)))
             return shards.routed(out)
 
         def verify(shard, table, got):
             links = _links()
             if got:
-                sets, ids, *_ = sets_of(table)
                 source, item, other_id, sizes, values = _received(shards, got)
-                asked = np.unique(np.concatenate([a[4] for _, a in got])).astype(np.int64)
-                _search(links, sets, ids, asked, shard, Inverted(sizes, values), source, item, other_id, percent)
+                sets, ids, asked, _ = subset(table, np.concatenate([a[4] for _, a in got]).astype(np.int64))
+                _search(links, sets, ids, np.arange(len(asked)), asked, shard, Inverted(sizes, values), source, item, other_id, percent)
             return _table(links)
 
         asked = shards.back(states if states is not None else shards.nothing(), question, "_shard int, _bucket int, data binary")
         return shards.back(shards.back(shards.answer(asked, reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _starts(v: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+
+
 def _links() -> list[list]:
     return [[] for _ in range(6)]
 
@@ -298,12 +322,12 @@ def _received(shards: Exchange, got):
     return source, item, ids, sizes, values
 
 
-def _search(links, sets: Sets, ids, asked, shard, index: Inverted, source, item, other_id, percent) -> None:
+def _search(links, sets: Sets, ids, asked, names, shard, index: Inverted, source, item, other_id, percent) -> None:
     for i in asked.tolist():
         found = index.search(sets.values[sets.first[i] : sets.first[i + 1]], percent)
-        found = found[(source[found] != shard) | (item[found] != i)]
+        found = found[(source[found] != shard) | (item[found] != names[i])]
         if len(found):
-            for column, x in zip(links, (np.full(len(found), shard), np.full(len(found), i), np.full(len(found), ids[i]), source[found], item[found], other_id[found]), strict=True):
+            for column, x in zip(links, (np.full(len(found), shard), np.full(len(found), names[i]), np.full(len(found), ids[i]), source[found], item[found], other_id[found]), strict=True):
                 column.append(x)
 
 
@@ -321,14 +345,10 @@ def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[
     at most spread x mean size pass. The order only speeds up the join: any order gives the same links.
     """
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             item, value, n = elements(batch)
-            order = np.lexsort((value, item))
-            item, value = item[order], value[order]
-            fresh = np.ones(len(item), bool)
-            fresh[1:] = (item[1:] != item[:-1]) | (value[1:] != value[:-1])
-            keys, counts = np.unique(value[fresh], return_counts=True)
-            often = counts > max(8, n / spread)
+            keys, counts = np.unique(Sets(item, value, n).values, return_counts=True)
+            often = counts > max(3, n / spread)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], n).astype(np.int64)), pa.array(np.append(np.zeros(often.sum(), bool), True))], ["key", "count", "total"])
 
     sums = df.mapInArrow(run, "key long, count long, total boolean").groupBy("key", "total").agg(F.sum("count").alias("n"))

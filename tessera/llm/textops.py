@@ -6,6 +6,8 @@ Nulls count as empty texts. Nothing here looks at a prefix only: texts may be of
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,8 +23,8 @@ for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_HASH = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
-_STEP = U64(0x9E3779B97F4A7C15)
+_BYTE_HASH = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
+_STEP = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 20
 
 
@@ -91,26 +93,26 @@ class Words:
         return self.bytes[self.start[first] : self.end[last]].tobytes()
 
 
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the step and of its inverse, modulo 2**64."""
+    power = lambda x: np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, x, U64)]))
+    return power(U64(_STEP)), power(U64(pow(_STEP, -1, 2**64)))
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; in chunks, so that memory stays bounded."""
+    """A 64-bit hash of each byte range: a polynomial from sums of prefixes; in chunks, so that memory stays bounded."""
     out = np.empty(len(start), U64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, "right")))
         lo, hi = int(start[i]), int(end[j - 1])
         s, e = start[i:j] - lo, end[i:j] - lo
-        where = np.zeros(hi - lo + 1, np.int64)
-        where[s] = s
-        np.maximum.accumulate(where, out=where)
-        place = np.arange(hi - lo) - where[:-1]
-        power = np.multiply.accumulate(np.full(int((e - s).max()) if j - i == 1 else int(place.max()) + 1, _STEP, U64))
-        value = _BYTE_HASH[data[lo:hi]]
-        value *= power[place]
-        gap = np.zeros(hi - lo + 1, np.int8)
-        gap[s] += 1
-        gap[e] -= 1
-        value[np.cumsum(gap[:-1], dtype=np.int32) == 0] = 0
-        out[i:j] = mix(np.add.reduceat(value, s) + (e - s).astype(U64))
+        power, inverse = _powers(max(_CHUNK, hi - lo))
+        sums = np.zeros(hi - lo + 1, U64)
+        np.multiply(_BYTE_HASH[data[lo:hi]], power[: hi - lo], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
         i = j
     return out
 
