@@ -1,0 +1 @@
+"""Inputs here are whole tables and images: there is no stream operator, and none is advertised."""
