@@ -49,9 +49,14 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
         item, value, rows = ngrams(table.column("text") if which is None else table.column("text").take(pa.array(which)), n)
         return Sets(item, value, rows, frequent), row_ids(table)
 
+    def bags(table: pa.Table):
+        item, value, rows = ngrams(table.column("text"), n)
+        order = np.argsort(item, kind="stable")
+        return item[order], value[order], rows, row_ids(table)
+
     frequent = frequent_elements(documents.select(text), batch_ngrams)
     shards = Exchange(documents, key, text, rest=rest)
-    join = Join(shards, items, percent, frequent)
+    join = Join(shards, items, bags, percent, frequent)
     nodes = lambda links: links.select(gid("shard", "item").alias("a"), gid("other_shard", "other_item").alias("b"))
     names = lambda links: links.select(gid("shard", "item").alias("node"), "id").union(links.select(gid("other_shard", "other_item"), "other_id"))
     first = written(join.stars())

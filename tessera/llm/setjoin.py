@@ -67,21 +67,50 @@ class Sets:
         """A hash of each whole set."""
         return mix(self._reduce(np.add, mix(self.values)) + self.size.astype(np.uint64))
 
-    def sketches(self) -> np.ndarray:
-        """Bit j is the parity of the number of elements that hash to j."""
-        return self._reduce(np.bitwise_xor, np.uint64(1) << (mix(self.values + np.uint64(99)) >> np.uint64(58)))
+    def sketches(self, k: int = 0) -> np.ndarray:
+        """Bit j is the parity of the number of elements that hash to j: word k of a sketch of three words."""
+        h = mix(self.values + np.uint64(99)) >> np.uint64(32)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        if k:  # words 1 and 2 split the elements
+            bit[(h >> np.uint64(6) & np.uint64(1)) != np.uint64(k - 1)] = 0
+        return self._reduce(np.bitwise_xor, bit)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and elements of some sets."""
+        n = self.size[which]
+        return n, self.values[np.arange(n.sum()) + np.repeat(self.first[which] - (np.cumsum(n) - n), n)]
+
+
+class Bags:
+    """The elements of items as they come, repeats among them, by rising item: enough for keys and copies, without a sort."""
+
+    def __init__(self, item: np.ndarray, value: np.ndarray, items: int):
+        self.first = np.searchsorted(item, np.arange(items + 1))
+        self.value, self.size = value, np.diff(self.first)
+        self.full = np.flatnonzero(self.size)
+
+    def _reduce(self, ufunc, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size), np.uint64)
+        if len(self.full):
+            out[self.full] = ufunc.reduceat(x, self.first[self.full])
+        return out
+
+    def copies(self) -> np.ndarray:
+        """For each item the first with the same elements in the same order."""
+        place = np.arange(len(self.value)) - np.repeat(self.first[:-1], self.size)
+        name = mix(self._reduce(np.add, mix(self.value + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + self.size.astype(np.uint64))
+        _, first, at = np.unique(name, return_index=True, return_inverse=True)
+        return first[at]
 
     def star_keys(self, j: int) -> np.ndarray:
-        """Key j of each set: a hash of several of its min-hashes."""
+        """Key j of each item: a hash of several of its min-hashes."""
         key = np.full(len(self.size), j, np.uint64)
         for i in range(j * DEPTH, (j + 1) * DEPTH):
-            key = mix(key * np.uint64(3) + self._reduce(np.minimum, mix(self.values * np.uint64(2 * i + 3) + np.uint64(i))))
+            key = mix(key * np.uint64(3) + self._reduce(np.minimum, self.value * _ODD[i]))
         return key
 
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and elements of some sets."""
-        n = self.size[which]
-        return n, self.values[np.arange(n.sum()) + np.repeat(self.first[which] - (np.cumsum(n) - n), n)]
+
+_ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, STARS * DEPTH, dtype=np.uint64, endpoint=False) | np.uint64(1)
 
 
 class Inverted:
@@ -133,16 +162,28 @@ def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bags_of(bags: Callable) -> Callable:
+    """A function that gives the bags of a shard, its ids, the items that stand for themselves and others, and which does for each."""
+
+    def found(table: pa.Table):
+        item, value, n, ids = bags(table)
+        own = Bags(item, value, n)
+        first = own.copies()
+        return own, ids, np.flatnonzero((first == np.arange(n)) & (own.size > 0)), first
+
+    return found
+
+
 class Join:
     """The join over the items of a table's shards.
 
     items(table, frequent, which) gives the sets of a shard (of the items `which` only, where it isn't None), and the id of
-    each item's row; percent: the similarity in percent.
+    each item's row; bags(table): (item, element, number of items) by rising item, and those ids; percent: the similarity.
     Items are in order of their row's id; the first of equal sets stands for all of them in its shard.
     """
 
-    def __init__(self, shards: Exchange, items: Callable, percent: int, frequent=((), ())):
-        self.shards, self.items, self.percent, self.frequent = shards, items, percent, frequent
+    def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, frequent=((), ())):
+        self.shards, self.items, self.bags_of, self.percent, self.frequent = shards, items, bags_of(bags), percent, frequent
 
     def sets(self, table: pa.Table):
         """Sets, ids, and those items that stand for themselves and others."""
@@ -159,15 +200,15 @@ class Join:
 
     def stars(self) -> DataFrame:
         """Links between sets and the first set of equal key, and between equal sets of a shard."""
-        shards, sets_of, subset, percent = self.shards, self.sets, self.subset, self.percent
+        shards, bags_of, subset, percent = self.shards, self.bags_of, self.subset, self.percent
 
         def question(shard, table):
-            sets, ids, own, _ = sets_of(table)
-            keys = np.concatenate([sets.star_keys(j)[own] for j in range(STARS)]) if len(own) else np.zeros(0, np.uint64)
+            bags, ids, own, _ = bags_of(table)
+            keys = np.concatenate([bags.star_keys(j)[own] for j in range(STARS)]) if len(own) else np.zeros(0, np.uint64)
             keys, first, times = np.unique(keys, return_index=True, return_counts=True)  # the first item of a key is the least
             item = own[first % max(len(own), 1)]
             cut = shards.cuts(keys)
-            return [(b, pack(keys[x:y], item[x:y], ids[item[x:y]], times[x:y] > 1)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            return [(b, pack(keys[x:y], _small(item[x:y]), ids[item[x:y]], times[x:y] > 1)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
 
         def reply(got):
             key, item, ids, many = (np.concatenate([q[k] for _, q in got]) for k in range(4))
@@ -196,17 +237,18 @@ class Join:
 
         def verify(shard, table, got):
             links = _links()
-            sets, ids, own, first_of = sets_of(table)
-            copies = np.flatnonzero((first_of != np.arange(len(first_of))) & (sets.size > 0))
+            bags, ids, own, first_of = bags_of(table)
+            copies = np.flatnonzero((first_of != np.arange(len(first_of))) & (bags.size > 0))
             for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first_of[copies], ids[first_of[copies]]), strict=True):
                 column.append(x)
             if got:
-                starred = [sets.star_keys(j)[own] for j in range(STARS)]
+                starred = [bags.star_keys(j)[own] for j in range(STARS)]
                 source, item, other_id, sizes, values = _received(shards, got)
                 keys = np.concatenate([a[4] for _, a in got])
                 index = Inverted(sizes, values)
                 asked = own[np.any([np.isin(x, keys) for x in starred], axis=0)]
-                _search(links, sets, ids, asked, np.arange(len(ids)), shard, index, source, item, other_id, percent)
+                sets, ids, asked, _ = subset(table, asked)
+                _search(links, sets, ids, np.arange(len(asked)), asked, shard, index, source, item, other_id, percent)
             return _table(links)
 
         return shards.back(shards.back(shards.answer(shards.ask(question), reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
@@ -231,15 +273,15 @@ class Join:
             value = sets.values[sets.first[item] + place]
             order = np.argsort(value, kind="stable")
             value, item, place = value[order], item[order], place[order]
-            sketch = sets.sketches()
+            sketch, more = sets.sketches(), [sets.sketches(k) for k in (1, 2)]
             odd = state != default(shard, np.arange(len(ids)))
             cut = shards.cuts(value)
             out = []
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     i = item[x:y]
-                    told = np.flatnonzero(odd[i])
-                    out.append((shard, shards.ids[b], pack(value[x:y], _small(i), _small(place[x:y]), _small(sets.size[i]), sketch[i], _small(told), state[i[told]])))
+                    told, large = np.flatnonzero(odd[i]), np.flatnonzero(sets.size[i] > 64)
+                    out.append((shard, shards.ids[b], pack(value[x:y], _small(i), _small(place[x:y]), _small(sets.size[i]), sketch[i], _small(told), state[i[told]], _small(large), more[0][i[large]], more[1][i[large]])))
             return shards.routed(out)
 
         def reply(got):
@@ -250,10 +292,14 @@ class Join:
             sketch = np.concatenate([q[4] for _, q in got])
             state = default(shard, item)
             state[np.concatenate([q[5] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)] = np.concatenate([q[6] for _, q in got])
+            more = np.zeros((2, len(value)), np.uint64)
+            large = np.concatenate([q[7] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)
+            more[:, large] = [np.concatenate([q[k] for _, q in got]) for k in (8, 9)]
             order = np.argsort(value, kind="stable")
             start = _starts(value[order])
             n = np.diff(np.append(start, len(value)))
             order = order[np.repeat(n > 1, n)]  # lists of one decide nothing
+            more = more[:, order]
             shard, item, place, size, sketch, state, value = (x[order] for x in (shard, item, place, size, sketch, state, value))
             start = _starts(value)
             n = np.diff(np.append(start, len(value)))
@@ -270,6 +316,9 @@ class Join:
                 ok = (np.minimum(a - place[x], b - place[y]) >= t) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
                 x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
                 ok = (np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * t) & may_differ(state[x], state[y])
+                x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
+                apart = np.bitwise_count(more[0, x] ^ more[0, y]).astype(np.int64) + np.bitwise_count(more[1, x] ^ more[1, y])
+                ok = (np.minimum(a, b) <= 64) | (apart <= a + b - 2 * t)
                 if ok.any():
                     pairs.append(np.stack([shard[x[ok]], item[x[ok]], shard[y[ok]], item[y[ok]]]))
                     if sum(p.shape[1] for p in pairs) > 1_000_000:
@@ -340,14 +389,14 @@ def _table(links: list[list]) -> pa.Table:
 def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]], *, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
     """Elements that many sets hold, sorted, and a rank by how many (coarse, so that it is alike in every run).
 
-    elements(batch) gives (set number, element, number of sets). A batch tells of the elements that more than one in
+    elements(batch) gives (set number, element, number of sets); an element that a set repeats counts as often. A batch tells of the elements that more than one in
     `spread` of its sets hold, so the driver gets at most spread x mean size x batches small rows, summed by Spark first; of the sums,
     at most spread x mean size pass. The order only speeds up the join: any order gives the same links.
     """
     def run(batches):
         for batch in sliced(batches, 4096):
-            item, value, n = elements(batch)
-            keys, counts = np.unique(Sets(item, value, n).values, return_counts=True)
+            _, value, n = elements(batch)
+            keys, counts = np.unique(value, return_counts=True)
             often = counts > max(3, n / spread)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], n).astype(np.int64)), pa.array(np.append(np.zeros(often.sum(), bool), True))], ["key", "count", "total"])
 
