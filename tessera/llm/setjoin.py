@@ -10,7 +10,8 @@ near copies at a cost linear in their number. Lists: all other pairs that pass t
 the sets says which pairs the second round may leave out (those in one component, or those that decide nothing).
 
 A shard holds equal sets once; equal elements of a shard cross the network once where only a minimum matters. A set
-travels to each shard that needs it once.
+travels to each shard that needs it once, and in the second round only after its sketch (two bits an element) has
+been compared there.
 """
 
 from __future__ import annotations
@@ -75,6 +76,17 @@ class Sets:
             bit[(h >> np.uint64(6) & np.uint64(1)) != np.uint64(k - 1)] = 0
         return self._reduce(np.bitwise_xor, bit)
 
+    def wide_sketches(self, words: int) -> np.ndarray:
+        """Parity sketches of so many words (a power of two), a row for each set."""
+        h = mix(self.values + np.uint64(77))
+        place = self.item * words + (h >> np.uint64(40) & np.uint64(words - 1)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        start = _starts(place[order])
+        out = np.zeros(len(self.size) * words, np.uint64)
+        if len(start):
+            out[place[order][start]] = np.bitwise_xor.reduceat((np.uint64(1) << (h & np.uint64(63)))[order], start)
+        return out.reshape(-1, words)
+
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and elements of some sets."""
         n = self.size[which]
@@ -329,6 +341,46 @@ class Join:
             p = np.unique(np.concatenate(pairs, 1), axis=1)
             return [(int(s), pack(_small(p[1, p[0] == s]), _small(p[2, p[0] == s]), _small(p[3, p[0] == s]))) for s in np.unique(p[0])]
 
+        def outline(shard, table, got):
+            """Sketches of the sets, two bits an element or more, to the shards of their candidates."""
+            out = []
+            if got:
+                item, to, other = (np.concatenate([a[k] for _, a in got]).astype(np.int64) for k in range(3))
+                sets, _, item, at = subset(table, item)
+                words = _sketch_words(sets.size)
+                wide = {w: sets.wide_sketches(w) for w in np.unique(words).tolist()}
+                for s in np.unique(to):
+                    which, place = np.unique(at[to == s], return_inverse=True)
+                    out.append((int(s), shard, pack(_small(item[which]), _small(sets.size[which]), np.concatenate([wide[w][i] for i, w in zip(which.tolist(), words[which].tolist(), strict=True)]), _small(other[to == s]), _small(place))))
+            return shards.routed(out)
+
+        def compare(shard, table, got):
+            """The candidates whose sketches leave the required overlap possible, back to the shards of the sets."""
+            out = []
+            if got:
+                mine = np.concatenate([a[3] for _, a in got]).astype(np.int64)
+                sets, _, mine, at = subset(table, mine)
+                cut, wide = 0, {}
+                for b, (item, size, sketch, other, place) in got:
+                    own, place, size = at[cut : cut + len(other)], place.astype(np.int64), size.astype(np.int64)
+                    cut += len(other)
+                    words = _sketch_words(size)
+                    begin = np.cumsum(words) - words
+                    a, b_ = size[place], sets.size[own]
+                    most, apart = a + b_ - 2 * required(percent, a, b_), np.zeros(len(place), np.int64)
+                    for w in np.unique(words).tolist():
+                        if w not in wide:
+                            wide[w] = sets.wide_sketches(w)
+                        on = np.flatnonzero(words[place] == w)
+                        for i in range(0, len(on), 4096):
+                            some = on[i : i + 4096]
+                            theirs = sketch[begin[place[some]][:, None] + np.arange(w)]
+                            apart[some] = np.bitwise_count(theirs ^ wide[w][own[some]]).sum(1)
+                    ok = apart <= most
+                    if ok.any():
+                        out.append((shards.ids[b], shard, pack(item[place[ok]], np.full(ok.sum(), shard), mine[own[ok]])))
+            return shards.routed(out)
+
         def send(shard, table, got):
             out = []
             if got:
@@ -348,7 +400,15 @@ class Join:
             return _table(links)
 
         asked = shards.back(states if states is not None else shards.nothing(), question, "_shard int, _bucket int, data binary")
-        return shards.back(shards.back(shards.answer(asked, reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
+        found = shards.answer(asked, reply)
+        for step in (outline, compare, send):
+            found = shards.back(found, step, "_shard int, _bucket int, data binary")
+        return shards.back(found, verify, _LINK)
+
+
+def _sketch_words(size: np.ndarray) -> np.ndarray:
+    """Words of a sketch of at least two bits an element: a power of two, four at least."""
+    return (1 << np.ceil(np.log2(np.maximum(size / 32, 4))).astype(np.int64)).astype(np.int64)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
