@@ -27,6 +27,8 @@ from tessera.llm.textops import SPACE_WORDS, Words, kgram_hashes, mix, window_st
 WINDOW, ANCHOR = 35, 12
 #: Anchors that more than so many shards' sums tell of send their windows singly.
 FREQUENT = 2000
+#: Parts of a block that are indexed one after the other.
+PARTS = 16
 
 
 class Windows:
@@ -157,27 +159,39 @@ def mark(documents: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, ke
                 if y > x:
                     some = first[x:y]
                     texts = [w.words.text(i, j) for i, j in zip(w.start[low[some]].tolist(), (w.start[high[some]] + window - 1).tolist(), strict=True)]
-                    out.append((b, pack(name[some], np.minimum(times[x:y], 2).astype(np.uint8), b"".join(texts), np.array([len(t) for t in texts], np.int32))))
+                    out.append((b, pack(name[some], np.minimum(times[x:y], 2).astype(np.uint8), b"".join(texts), np.array([len(t) for t in texts], np.int32), (mix(route[some]) % np.uint64(PARTS)).astype(np.uint8))))
         return shards.routed([(shard, shards.ids[b], data) for b, data in out])
 
     def second_reply(got):
-        names = np.concatenate([q[0] for _, q in got])
+        # equal windows have equal routes: a block is indexed in parts, one at a time
+        whole = []
+        for s, (names, times, joined, size, part) in got:
+            offs = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(joined)])
+            whole.append((s, names, times, texts, part))
+        out = []
+        for k in range(PARTS):
+            mine = [(s, names[on], times[on], texts.take(pa.array(on))) for s, names, times, texts, part in whole if len(on := np.flatnonzero(part == k))]
+            if mine:
+                out += block_reply(mine)
+        return out
+
+    def block_reply(got):
+        names = np.concatenate([q[1] for q in got])
         distinct, first, place = np.unique(names, return_index=True, return_inverse=True)
-        copies = np.bincount(place, np.concatenate([q[1] for _, q in got]), len(distinct)) > 1
-        offs = np.concatenate([[0], np.cumsum(np.concatenate([q[3] for _, q in got]), dtype=np.int64)])
-        joined = b"".join(q[2] for _, q in got)
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(joined)]).take(pa.array(first))
+        copies = np.bincount(place, np.concatenate([q[2] for q in got]), len(distinct)) > 1
+        data = pa.concat_arrays([q[3] for q in got]).take(pa.array(first))
         words = Words(data, SPACE_WORDS)
         symbols = np.unique(words.hash, return_inverse=True)[1]
         block = ReferenceBlock(symbols, words.rows.astype(np.int64), window)
         repeated = block.repeated() | np.repeat(copies, np.diff(words.rows))
         n = np.diff(words.rows) - window + 1  # windows of each distinct stretch
         out = []
-        for (s, q), mine in zip(got, np.split(place, np.cumsum([len(q[0]) for _, q in got])[:-1]), strict=True):
+        for q, mine in zip(got, np.split(place, np.cumsum([len(q[1]) for q in got])[:-1]), strict=True):
             take = np.arange(n[mine].sum()) + np.repeat(words.rows[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine])
             bits = repeated[take]
             if bits.any():
-                out.append((s, pack(q[0], n[mine].astype(np.int32), np.packbits(bits))))
+                out.append((q[0], pack(q[1], n[mine].astype(np.int32), np.packbits(bits))))
         return out
 
     def use(shard: int, table: pa.Table, got):
