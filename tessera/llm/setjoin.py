@@ -31,6 +31,8 @@ from tessera.llm.textops import mix, sliced
 STARS, DEPTH = 4, 4
 #: An element is frequent if more than one in so many sets hold it; at most SPREAD x mean size are.
 SPREAD = 20_000
+#: Postings that are merged at once.
+GROUP = 1 << 20
 _LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long"
 
 
@@ -137,36 +139,60 @@ class Inverted:
         self.start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         self.keys = keys[self.start]
         self.end = np.append(self.start[1:], len(keys))
+        self.codes = np.repeat(np.arange(len(self.keys)), self.end - self.start) * len(sizes) + self.posts  # list and set, ascending
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """The sets whose similarity to the query is at least percent / 100, by DivideSkip."""
-        if not len(self.keys) or not len(query):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, query)
+    def search(self, sizes: np.ndarray, values: np.ndarray, percent: int):
+        """(queries, sets) whose similarity is at least percent / 100, by DivideSkip; queries are searched in groups of bounded work.
+
+        sizes: elements of each query; values: these, one query after the other.
+        """
+        if not len(self.keys) or not len(values):
+            return
+        at = np.searchsorted(self.keys, values)
         at[at == len(self.keys)] = 0
-        at = at[self.keys[at] == query]
-        least = -(-percent * len(query) // 100)  # what any partner shares at least
-        if len(at) < least:
-            return np.zeros(0, np.int64)
-        start, end = self.start[at], self.end[at]
-        n = end - start
-        longest = int(n.max())
-        apart = min(int(least / (0.01 * np.log2(max(longest, 2)) + 1)), least - 1, int((n > 64).sum()))
-        if apart:
-            order = np.argsort(-n, kind="stable")
-            far, near = order[:apart], order[apart:]
-        else:
-            near, far = slice(None), ()
-        s, m = start[near], n[near]
-        merged = self.posts[np.arange(m.sum()) + np.repeat(s - (np.cumsum(m) - m), m)]
-        count = np.bincount(merged, minlength=len(self.sizes))
-        found = np.flatnonzero(count >= least - apart)
-        total = count[found]
-        for k in far:
-            own = self.posts[start[k] : end[k]]
-            place = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            total = total + (own[place] == found)
-        return found[100 * total >= percent * (len(query) + self.sizes[found] - total)]
+        known = self.keys[at] == values
+        query, at = np.repeat(np.arange(len(sizes)), sizes)[known], at[known]
+        n = self.end[at] - self.start[at]
+        # the shortest lists of a query first; what may be set apart for probing comes last
+        order = np.argsort(query * (len(self.posts) + 1) + n, kind="stable")
+        query, at, n = query[order], at[order], n[order]
+        begin = np.searchsorted(query, np.arange(len(sizes) + 1))
+        lists = np.diff(begin)
+        least = -(-percent * sizes // 100)  # what any partner shares at least
+        longest = np.zeros(len(sizes), np.int64)
+        longest[lists > 0] = n[begin[1:][lists > 0] - 1]
+        long = np.bincount(query, n > 64, len(sizes)).astype(np.int64)
+        apart = np.minimum(np.minimum((least / (0.01 * np.log2(np.maximum(longest, 2)) + 1)).astype(np.int64), least - 1), long)
+        near = np.arange(len(query)) < (begin[1:] - apart)[query]
+        hopeless = lists < least
+        work = np.concatenate([[0], np.cumsum(np.bincount(query, n * near, len(sizes)))])
+        i = 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(work, work[i] + GROUP, "right")) - 1)
+            some = slice(begin[i], begin[j])
+            yield self._group(query[some], at[some], near[some] & ~hopeless[query[some]], n[some], sizes, begin, apart, least, percent)
+            i = j
+
+    def _group(self, query, at, near, n, sizes, begin, apart, least, percent):
+        """Merges the short lists of some queries and probes the long ones for what the merge leaves possible."""
+        sets = len(self.sizes)
+        m, s = n[near], self.start[at[near]]
+        merged = np.repeat(query[near] * sets, m) + self.posts[np.arange(m.sum()) + np.repeat(s - (np.cumsum(m) - m), m)]
+        merged.sort()
+        first = _starts(merged)
+        total = np.diff(np.append(first, len(merged)))
+        q, found = np.divmod(merged[first], sets)
+        a, b = sizes[q], self.sizes[found]
+        ok = (total >= least[q] - apart[q]) & (total + apart[q] >= required(percent, a, b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        q, found, total = q[ok], found[ok], total[ok]
+        for k in range(int(apart[q].max(initial=0))):  # the k-th list that each query sets apart
+            on = np.flatnonzero(apart[q] > k)
+            key = at[begin[q[on] + 1] - 1 - k - begin[query[0]]]
+            code = key * sets + found[on]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            total[on] += self.codes[place] == code
+        ok = 100 * total >= percent * (sizes[q] + self.sizes[found] - total)
+        return q[ok], found[ok]
 
 
 def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -432,12 +458,13 @@ def _received(shards: Exchange, got):
 
 
 def _search(links, sets: Sets, ids, asked, names, shard, index: Inverted, source, item, other_id, percent) -> None:
-    for i in asked.tolist():
-        found = index.search(sets.values[sets.first[i] : sets.first[i + 1]], percent)
-        found = found[(source[found] != shard) | (item[found] != names[i])]
-        if len(found):
-            for column, x in zip(links, (np.full(len(found), shard), np.full(len(found), names[i]), np.full(len(found), ids[i]), source[found], item[found], other_id[found]), strict=True):
-                column.append(x)
+    sizes, values = sets.take(asked)
+    for q, found in index.search(sizes, values, percent):
+        i = asked[q]
+        other = (source[found] != shard) | (item[found] != names[i])
+        i, found = i[other], found[other]
+        for column, x in zip(links, (np.full(len(found), shard), names[i], ids[i], source[found], item[found], other_id[found]), strict=True):
+            column.append(x)
 
 
 def _table(links: list[list]) -> pa.Table:
