@@ -31,6 +31,8 @@ from tessera.llm.textops import mix, sliced
 STARS, DEPTH = 4, 4
 #: An element is frequent if more than one in so many sets hold it; at most SPREAD x mean size are.
 SPREAD = 20_000
+#: Sets of at most so many elements send a sketch of 32 or of 64 bits, larger ones of 128.
+LEVELS = (24, 80)
 #: Postings that are merged at once.
 GROUP = 1 << 20
 _LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long"
@@ -70,13 +72,11 @@ class Sets:
         """A hash of each whole set."""
         return mix(self._reduce(np.add, mix(self.values)) + self.size.astype(np.uint64))
 
-    def sketches(self, k: int = 0) -> np.ndarray:
-        """Bit j is the parity of the number of elements that hash to j: word k of a sketch of three words."""
+    def sketches(self) -> np.ndarray:
+        """Bit j of 128 is the parity of the number of elements that hash to j: two words of each set."""
         h = mix(self.values + np.uint64(99)) >> np.uint64(32)
-        bit = np.uint64(1) << (h & np.uint64(63))
-        if k:  # words 1 and 2 split the elements
-            bit[(h >> np.uint64(6) & np.uint64(1)) != np.uint64(k - 1)] = 0
-        return self._reduce(np.bitwise_xor, bit)
+        bit, high = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6) & np.uint64(1)) == 1
+        return np.stack([self._reduce(np.bitwise_xor, np.where(high == k, bit, np.uint64(0))) for k in (False, True)])
 
     def wide_sketches(self, words: int) -> np.ndarray:
         """Parity sketches of so many words (a power of two), a row for each set."""
@@ -311,15 +311,17 @@ class Join:
             value = sets.values[sets.first[item] + place]
             order = np.argsort(value, kind="stable")
             value, item, place = value[order], item[order], place[order]
-            sketch, more = sets.sketches(), [sets.sketches(k) for k in (1, 2)]
+            sketch, level = sets.sketches(), _level(sets.size)
             odd = state != default(shard, np.arange(len(ids)))
             cut = shards.cuts(value)
             out = []
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     i = item[x:y]
-                    told, large = np.flatnonzero(odd[i]), np.flatnonzero(sets.size[i] > 64)
-                    out.append((shard, shards.ids[b], pack(value[x:y], _small(i), _small(place[x:y]), _small(sets.size[i]), sketch[i], _small(told), state[i[told]], _small(large), more[0][i[large]], more[1][i[large]])))
+                    told = np.flatnonzero(odd[i])
+                    by_level = [sketch[:, i[level[i] == k]] for k in range(3)]
+                    short = _fold(by_level[0][0] ^ by_level[0][1]).astype(np.uint32), by_level[1][0] ^ by_level[1][1], by_level[2]
+                    out.append((shard, shards.ids[b], pack(shards.short(value[x:y], b), _small(i), _small(place[x:y]), _small(sets.size[i]), short, _small(told), _small(state[i[told]]))))
             return shards.routed(out)
 
         def reply(got):
@@ -327,18 +329,20 @@ class Join:
             counts = np.array([len(q[0]) for _, q in got])
             shard = np.repeat(np.array([s for s, _ in got], np.int64), counts)
             item, place, size = (np.concatenate([q[k] for _, q in got]).astype(np.int64) for k in (1, 2, 3))
-            sketch = np.concatenate([q[4] for _, q in got])
+            level, sketch = _level(size), np.zeros((2, len(value)), np.uint64)
+            for k in range(2):
+                sketch[0, level == k] = np.concatenate([q[4][k] for _, q in got])
+            sketch[:, level == 2] = np.concatenate([q[4][2] for _, q in got], 1)
             state = default(shard, item)
             state[np.concatenate([q[5] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)] = np.concatenate([q[6] for _, q in got])
-            more = np.zeros((2, len(value)), np.uint64)
-            large = np.concatenate([q[7] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)
-            more[:, large] = [np.concatenate([q[k] for _, q in got]) for k in (8, 9)]
             order = np.argsort(value, kind="stable")
             start = _starts(value[order])
             n = np.diff(np.append(start, len(value)))
             order = order[np.repeat(n > 1, n)]  # lists of one decide nothing
-            more = more[:, order]
-            shard, item, place, size, sketch, state, value = (x[order] for x in (shard, item, place, size, sketch, state, value))
+            sketch = sketch[:, order]
+            shard, item, place, size, level, state, value = (x[order] for x in (shard, item, place, size, level, state, value))
+            word = sketch[0] ^ sketch[1]
+            half = _fold(word)
             start = _starts(value)
             n = np.diff(np.append(start, len(value)))
             end = np.repeat(start + n, n)
@@ -353,10 +357,11 @@ class Join:
                 t = required(percent, a, b)
                 ok = (np.minimum(a - place[x], b - place[y]) >= t) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
                 x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
-                ok = (np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * t) & may_differ(state[x], state[y])
-                x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
-                apart = np.bitwise_count(more[0, x] ^ more[0, y]).astype(np.int64) + np.bitwise_count(more[1, x] ^ more[1, y])
-                ok = (np.minimum(a, b) <= 64) | (apart <= a + b - 2 * t)
+                low = np.minimum(level[x], level[y])  # sketches are compared as the shorter one is
+                ok = (np.bitwise_count(np.where(low > 0, word[x] ^ word[y], half[x] ^ half[y])) <= a + b - 2 * t) & may_differ(state[x], state[y])
+                x, y, a, b, t, low = x[ok], y[ok], a[ok], b[ok], t[ok], low[ok]
+                apart = np.bitwise_count(sketch[0, x] ^ sketch[0, y]).astype(np.int64) + np.bitwise_count(sketch[1, x] ^ sketch[1, y])
+                ok = (low < 2) | (apart <= a + b - 2 * t)
                 if ok.any():
                     pairs.append(np.stack([shard[x[ok]], item[x[ok]], shard[y[ok]], item[y[ok]]]))
                     if sum(p.shape[1] for p in pairs) > 1_000_000:
@@ -437,6 +442,15 @@ def _sketch_words(size: np.ndarray) -> np.ndarray:
     return (1 << np.ceil(np.log2(np.maximum(size / 32, 4))).astype(np.int64)).astype(np.int64)
 
 
+def _level(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVELS, size)
+
+
+def _fold(word: np.ndarray) -> np.ndarray:
+    """A sketch of 32 bits from one of 64."""
+    return (word ^ word >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     """Numbers from 0 on, in as few bytes as hold them."""
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
