@@ -73,7 +73,7 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
     sets_of = join.sets
 
     def use(shard: int, table: pa.Table, got) -> pa.Table:
-        sets, ids, _, first_of = sets_of(table)
+        sizes, ids, _, first_of = sets_of(table)
         out, first = ids.copy(), first_of == np.arange(len(ids))
         for _, (item, value) in got:
             told = item >= 0
@@ -81,11 +81,11 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
             first[item[told]] = False
         for _, (item, _) in got:
             first[-1 - item[item < 0]] = True
-        alone = sets.size == 0
+        alone = sizes == 0
         out = np.where(alone, ids, out[first_of])
         # copies in the shard carry the id of the first, which is the least of them
         more = {"rest": table.column("rest")} if rest else {}
-        return pa.table({"doc_id": table.column("id"), "n_shingles": pa.array(sets.size), "component_id": pa.array(out, mask=out == NO_ID), "first": pa.array(first | alone), **more})
+        return pa.table({"doc_id": table.column("id"), "n_shingles": pa.array(sizes), "component_id": pa.array(out, mask=out == NO_ID), "first": pa.array(first | alone), **more})
 
     return shards.back(answer, use, shards.with_rest("doc_id long, n_shingles long, component_id long, first boolean"))
 

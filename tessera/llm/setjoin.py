@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ STARS, DEPTH = 4, 4
 SPREAD = 20_000
 #: Sets of at most so many elements send a sketch of 32 or of 64 bits, larger ones of 128.
 LEVELS = (24, 80)
+#: Bytes of text whose words are in memory at once.
+PART = 1 << 22
 #: Postings that are merged at once.
 GROUP = 1 << 20
 _LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long"
@@ -109,12 +112,10 @@ class Bags:
             out[self.full] = ufunc.reduceat(x, self.first[self.full])
         return out
 
-    def copies(self) -> np.ndarray:
-        """For each item the first with the same elements in the same order."""
+    def names(self) -> np.ndarray:
+        """A hash of each item's elements in their order."""
         place = np.arange(len(self.value)) - np.repeat(self.first[:-1], self.size)
-        name = mix(self._reduce(np.add, mix(self.value + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + self.size.astype(np.uint64))
-        _, first, at = np.unique(name, return_index=True, return_inverse=True)
-        return first[at]
+        return mix(self._reduce(np.add, mix(self.value + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + self.size.astype(np.uint64))
 
     def star_keys(self, j: int) -> np.ndarray:
         """Key j of each item: a hash of several of its min-hashes."""
@@ -200,16 +201,22 @@ def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bags_of(bags: Callable) -> Callable:
-    """A function that gives the bags of a shard, its ids, the items that stand for themselves and others, and which does for each."""
+def parts(table: pa.Table):
+    """The rows of a shard in parts of about PART bytes of text, or one row: so that the words of one part at a time are in memory."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(table.column("text")), 0)).astype(np.int64))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART, int(ends[-1]) if len(ends) else 0, PART)) + 1, [len(ends)]]))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield table.slice(x, y - x).combine_chunks()
+
+
+def first_of(names: np.ndarray) -> np.ndarray:
+    """For each item the first of its name."""
+    _, first, place = np.unique(names, return_index=True, return_inverse=True)
+    return first[place]
 
-    def found(table: pa.Table):
-        item, value, n, ids = bags(table)
-        own = Bags(item, value, n)
-        first = own.copies()
-        return own, ids, np.flatnonzero((first == np.arange(n)) & (own.size > 0)), first
 
-    return found
+def joined(arrays: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
 class Join:
@@ -221,14 +228,46 @@ class Join:
     """
 
     def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, frequent=((), ())):
-        self.shards, self.items, self.bags_of, self.percent, self.frequent = shards, items, bags_of(bags), percent, frequent
+        self.shards, self.items, self.bags, self.percent, self.frequent = shards, items, bags, percent, frequent
+
+    def starred(self, table: pa.Table):
+        """Ids of the items, those that stand for themselves and others, which does for each, sizes and star keys of all."""
+        ids, sizes, names, keys = [], [], [], []
+        for part in parts(table):
+            item, value, n, own_ids = self.bags(part)
+            bags = Bags(item, value, n)
+            ids.append(own_ids)
+            sizes.append(bags.size)
+            names.append(bags.names())
+            keys.append(np.stack([bags.star_keys(j) for j in range(STARS)]))
+        first, sizes = first_of(joined(names, np.uint64)), joined(sizes)
+        return joined(ids), np.flatnonzero((first == np.arange(len(first))) & (sizes > 0)), first, sizes, np.concatenate(keys, 1) if keys else np.zeros((STARS, 0), np.uint64)
 
     def sets(self, table: pa.Table):
-        """Sets, ids, and those items that stand for themselves and others."""
-        sets, ids = self.items(table, self.frequent, None)
-        _, first, place = np.unique(sets.names(), return_index=True, return_inverse=True)
-        own = first[place] == np.arange(len(place))
-        return sets, ids, np.flatnonzero(own & (sets.size > 0)), first[place]
+        """Sizes and ids of the items, those that stand for themselves and others, and which does for each."""
+        return self.prefixes(table, prefixes=False)[:4]
+
+    def prefixes(self, table: pa.Table, prefixes: bool = True):
+        """As sets(), and value, item and place of the prefix elements of those, by value, and the sketch of each item."""
+        ids, sizes, names, sketches, found, count = [], [], [], [], [], 0
+        for part in parts(table):
+            sets, own_ids = self.items(part, self.frequent, None)
+            ids.append(own_ids)
+            sizes.append(sets.size)
+            names.append(sets.names())
+            if prefixes:
+                sketches.append(sets.sketches())
+                n = np.where(sets.size > 0, sets.size - -(-self.percent * sets.size // 100) + 1, 0)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                item = np.repeat(np.arange(len(n)), n)
+                found.append((sets.values[sets.first[item] + place], item + count, place))
+            count += len(own_ids)
+        first, sizes = first_of(joined(names, np.uint64)), joined(sizes)
+        own = (first == np.arange(len(first))) & (sizes > 0)
+        value, item, place = (joined([x[k] for x in found], np.int64 if k else np.uint64) for k in range(3))
+        order = np.flatnonzero(own[item])
+        order = order[np.argsort(value[order], kind="stable")]
+        return sizes, joined(ids), np.flatnonzero(own), first, value[order], item[order], place[order], np.concatenate(sketches, 1) if sketches else np.zeros((2, 0), np.uint64)
 
     def subset(self, table: pa.Table, item: np.ndarray):
         """Sets and ids of the distinct ones of some items, these, and the place of each item among them."""
@@ -238,12 +277,11 @@ class Join:
 
     def stars(self) -> DataFrame:
         """Links between sets and the first set of equal key, and between equal sets of a shard."""
-        shards, bags_of, subset, percent = self.shards, self.bags_of, self.subset, self.percent
+        shards, starred, subset, percent = self.shards, self.starred, self.subset, self.percent
 
         def question(shard, table):
-            bags, ids, own, _ = bags_of(table)
-            keys = np.concatenate([bags.star_keys(j)[own] for j in range(STARS)]) if len(own) else np.zeros(0, np.uint64)
-            keys, first, times = np.unique(keys, return_index=True, return_counts=True)  # the first item of a key is the least
+            ids, own, _, _, keys = starred(table)
+            keys, first, times = np.unique(keys[:, own].ravel(), return_index=True, return_counts=True)  # the first item of a key is the least
             item = own[first % max(len(own), 1)]
             cut = shards.cuts(keys)
             return [(b, pack(keys[x:y], _small(item[x:y]), ids[item[x:y]], times[x:y] > 1)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
@@ -275,18 +313,15 @@ class Join:
 
         def verify(shard, table, got):
             links = _links()
-            bags, ids, own, first_of = bags_of(table)
-            copies = np.flatnonzero((first_of != np.arange(len(first_of))) & (bags.size > 0))
-            for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first_of[copies], ids[first_of[copies]]), strict=True):
+            ids, own, first, sizes, own_keys = starred(table)
+            copies = np.flatnonzero((first != np.arange(len(first))) & (sizes > 0))
+            for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first[copies], ids[first[copies]]), strict=True):
                 column.append(x)
             if got:
-                starred = [bags.star_keys(j)[own] for j in range(STARS)]
                 source, item, other_id, sizes, values = _received(shards, got)
                 keys = np.concatenate([a[4] for _, a in got])
-                index = Inverted(sizes, values)
-                asked = own[np.any([np.isin(x, keys) for x in starred], axis=0)]
-                sets, ids, asked, _ = subset(table, asked)
-                _search(links, sets, ids, np.arange(len(asked)), asked, shard, index, source, item, other_id, percent)
+                asked = own[np.isin(own_keys[:, own], keys).any(0)]
+                _search(links, table, subset, asked, shard, Inverted(sizes, values), source, item, other_id, percent)
             return _table(links)
 
         return shards.back(shards.back(shards.answer(shards.ask(question), reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
@@ -297,21 +332,13 @@ class Join:
         states: (_shard, _bucket, data) with packed (items, states); default(shard, items) gives the state of items that have none.
         may_differ(state, other state) says which pairs matter.
         """
-        shards, sets_of, subset, percent = self.shards, self.sets, self.subset, self.percent
+        shards, prefixes, subset, percent = self.shards, self.prefixes, self.subset, self.percent
 
         def question(shard, table, got):
-            sets, ids, own, _ = sets_of(table)
-            state = default(shard, np.arange(len(ids)))
-            for _, (which, value) in got:
-                state[which] = value
-            n = np.zeros(len(ids), np.int64)
-            n[own] = sets.size[own] - -(-percent * sets.size[own] // 100) + 1
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item = np.repeat(np.arange(len(ids)), n)
-            value = sets.values[sets.first[item] + place]
-            order = np.argsort(value, kind="stable")
-            value, item, place = value[order], item[order], place[order]
-            sketch, level = sets.sketches(), _level(sets.size)
+            sizes, ids, _, _, value, item, place, sketch = prefixes(table)
+            state, level = default(shard, np.arange(len(ids))), _level(sizes)
+            for _, (which, told) in got:
+                state[which] = told
             odd = state != default(shard, np.arange(len(ids)))
             cut = shards.cuts(value)
             out = []
@@ -321,7 +348,7 @@ class Join:
                     told = np.flatnonzero(odd[i])
                     by_level = [sketch[:, i[level[i] == k]] for k in range(3)]
                     short = _fold(by_level[0][0] ^ by_level[0][1]).astype(np.uint32), by_level[1][0] ^ by_level[1][1], by_level[2]
-                    out.append((shard, shards.ids[b], pack(shards.short(value[x:y], b), _small(i), _small(place[x:y]), _small(sets.size[i]), short, _small(told), _small(state[i[told]]))))
+                    out.append((shard, shards.ids[b], pack(shards.short(value[x:y], b), _small(i), _small(place[x:y]), _small(sizes[i]), short, _small(told), _small(state[i[told]]))))
             return shards.routed(out)
 
         def reply(got):
@@ -426,8 +453,8 @@ class Join:
             links = _links()
             if got:
                 source, item, other_id, sizes, values = _received(shards, got)
-                sets, ids, asked, _ = subset(table, np.concatenate([a[4] for _, a in got]).astype(np.int64))
-                _search(links, sets, ids, np.arange(len(asked)), asked, shard, Inverted(sizes, values), source, item, other_id, percent)
+                asked = np.unique(np.concatenate([a[4] for _, a in got]).astype(np.int64))
+                _search(links, table, subset, asked, shard, Inverted(sizes, values), source, item, other_id, percent)
             return _table(links)
 
         asked = shards.back(states if states is not None else shards.nothing(), question, "_shard int, _bucket int, data binary")
@@ -471,14 +498,15 @@ def _received(shards: Exchange, got):
     return source, item, ids, sizes, values
 
 
-def _search(links, sets: Sets, ids, asked, names, shard, index: Inverted, source, item, other_id, percent) -> None:
-    sizes, values = sets.take(asked)
-    for q, found in index.search(sizes, values, percent):
-        i = asked[q]
-        other = (source[found] != shard) | (item[found] != names[i])
-        i, found = i[other], found[other]
-        for column, x in zip(links, (np.full(len(found), shard), names[i], ids[i], source[found], item[found], other_id[found]), strict=True):
-            column.append(x)
+def _search(links, table, subset, asked, shard, index: Inverted, source, item, other_id, percent) -> None:
+    for names in np.array_split(asked, max(1, min(len(asked), -(-table.nbytes // PART)))):
+        sets, ids, names, _ = subset(table, names)
+        for q, found in index.search(sets.size, sets.values, percent):
+            i = names[q]
+            other = (source[found] != shard) | (item[found] != i)
+            q, i, found = q[other], i[other], found[other]
+            for column, x in zip(links, (np.full(len(found), shard), i, ids[q], source[found], item[found], other_id[found]), strict=True):
+                column.append(x)
 
 
 def _table(links: list[list]) -> pa.Table:
@@ -496,8 +524,9 @@ def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[
     """
     def run(batches):
         for batch in sliced(batches, 4096):
-            _, value, n = elements(batch)
-            keys, counts = np.unique(value, return_counts=True)
+            found = [elements(part) for part in sliced([batch], 512)]
+            n = sum(x[2] for x in found)
+            keys, counts = np.unique(joined([x[1] for x in found], np.uint64), return_counts=True)
             often = counts > max(3, n / spread)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], n).astype(np.int64)), pa.array(np.append(np.zeros(often.sum(), bool), True))], ["key", "count", "total"])
 
