@@ -362,7 +362,7 @@ class Join:
             sketch[:, level == 2] = np.concatenate([q[4][2] for _, q in got], 1)
             state = default(shard, item)
             state[np.concatenate([q[5] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)] = np.concatenate([q[6] for _, q in got])
-            order = np.argsort(value, kind="stable")
+            order = np.lexsort((size, value))  # rising sizes within a list: partners that are too large come last
             start = _starts(value[order])
             n = np.diff(np.append(start, len(value)))
             order = order[np.repeat(n > 1, n)]  # lists of one decide nothing
@@ -382,8 +382,11 @@ class Join:
                 x, y = at, at + step
                 a, b = size[x], size[y]
                 t = required(percent, a, b)
-                ok = (np.minimum(a - place[x], b - place[y]) >= t) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-                x, y, a, b, t = x[ok], y[ok], a[ok], b[ok], t[ok]
+                ok = (a - place[x] >= t) & (100 * a >= percent * b)  # what fails here fails with all that follow
+                at, y, b, t = at[ok], y[ok], b[ok], t[ok]
+                ok = b - place[y] >= t
+                x, y, b, t = at[ok], y[ok], b[ok], t[ok]
+                a = size[x]
                 low = np.minimum(level[x], level[y])  # sketches are compared as the shorter one is
                 ok = (np.bitwise_count(np.where(low > 0, word[x] ^ word[y], half[x] ^ half[y])) <= a + b - 2 * t) & may_differ(state[x], state[y])
                 x, y, a, b, t, low = x[ok], y[ok], a[ok], b[ok], t[ok], low[ok]
