@@ -373,7 +373,8 @@ class Join:
             start = _starts(value)
             n = np.diff(np.append(start, len(value)))
             end = np.repeat(start + n, n)
-            pairs = []
+            names, number = np.unique(shard << 32 | item, return_inverse=True)
+            pairs = []  # each one number
             at, step = np.arange(len(value)), 1  # element i against element i + step of its list
             while True:
                 at = at[at + step < end[at]]
@@ -393,14 +394,16 @@ class Join:
                 apart = np.bitwise_count(sketch[0, x] ^ sketch[0, y]).astype(np.int64) + np.bitwise_count(sketch[1, x] ^ sketch[1, y])
                 ok = (low < 2) | (apart <= a + b - 2 * t)
                 if ok.any():
-                    pairs.append(np.stack([shard[x[ok]], item[x[ok]], shard[y[ok]], item[y[ok]]]))
-                    if sum(p.shape[1] for p in pairs) > 1_000_000:
-                        pairs = [np.unique(np.concatenate(pairs, 1), axis=1)]
+                    pairs.append(number[x[ok]] * len(names) + number[y[ok]])
+                    if sum(map(len, pairs)) > 1_000_000:
+                        pairs = [np.unique(np.concatenate(pairs))]
                 step += 1
             if not pairs:
                 return []
-            p = np.unique(np.concatenate(pairs, 1), axis=1)
-            return [(int(s), pack(_small(p[1, p[0] == s]), _small(p[2, p[0] == s]), _small(p[3, p[0] == s]))) for s in np.unique(p[0])]
+            x, y = (names[k] for k in np.divmod(np.unique(np.concatenate(pairs)), len(names)))
+            cut = np.append(_starts(x >> 32), len(x))
+            low = 0xFFFFFFFF
+            return [(int(x[i] >> 32), pack(_small(x[i:j] & low), _small(y[i:j] >> 32), _small(y[i:j] & low))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
         def outline(shard, table, got):
             """Sketches of the sets, two bits an element or more, to the shards of their candidates."""
