@@ -64,7 +64,7 @@ def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id
     """(doc_id, kept, n_lines, n_removed) for each row, and a struct `rest` of other columns; kept is the text without its removed lines."""
     frequent = frequent_elements(documents.select(text), lambda batch: tokens(batch.column(0)))
     shards = Exchange(documents, key, text, rest=rest)
-    join = Join(shards, _items, _bags, percent, frequent)
+    join = Join(shards, _items, _bags, percent, frequent, link_equal=True)
     # of two linked lines the later one goes
     here, there = F.struct("id", "shard", "item"), F.struct("other_id", "other_shard", "other_item")
     later = lambda links: links.select(F.when(here > there, here).otherwise(F.struct(F.col("other_id").alias("id"), F.col("other_shard").alias("shard"), F.col("other_item").alias("item"))).alias("x")).select(F.col("x.shard").alias("_shard"), F.col("x.item").alias("item"), F.lit(1).alias("value")).distinct()

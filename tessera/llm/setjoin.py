@@ -224,10 +224,12 @@ class Join:
 
     items(table, frequent, which) gives the sets of a shard (of the items `which` only, where it isn't None), and the id of
     each item's row; bags(table): (item, element, number of items) by rising item, and those ids; percent: the similarity.
-    Items are in order of their row's id; the first of equal sets stands for all of them in its shard.
+    Items are in order of their row's id; the first of equal sets stands for all of them in its shard. lists() leaves the others out, so a
+    caller gives them what it told the first, or has stars() link them to it (`link_equal`).
     """
 
-    def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, frequent=((), ())):
+    def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, frequent=((), ()), *, link_equal: bool = False):
+        self.link_equal = link_equal
         self.shards, self.items, self.bags, self.percent, self.frequent = shards, items, bags, percent, frequent
 
     def starred(self, table: pa.Table):
@@ -275,9 +277,20 @@ class Join:
         sets, ids = self.items(table, self.frequent, which)
         return sets, ids[which], which, at
 
+    def equal(self, table: pa.Table, own: np.ndarray, keys: np.ndarray):
+        """Those of `own` whose star keys are all those of another one, and the first whose set equals each one's: in another order or with repeats."""
+        key = np.zeros(len(own), np.uint64)
+        for row in keys[:, own]:
+            key = mix(key * np.uint64(3) + row)
+        _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+        alike = own[times[place] > 1]
+        names = [self.subset(table, some)[0].names() for some in _pieces(table, alike)] if len(alike) else []
+        return alike, alike[first_of(joined(names, np.uint64))]
+
     def stars(self) -> DataFrame:
-        """Links between sets and the first set of equal key, and between equal sets of a shard."""
+        """Links between sets and the first set of equal key, and between equal sequences of a shard (with link_equal, equal sets)."""
         shards, starred, subset, percent = self.shards, self.starred, self.subset, self.percent
+        equal = self.equal if self.link_equal else None
 
         def question(shard, table):
             ids, own, _, _, keys = starred(table)
@@ -314,6 +327,10 @@ class Join:
         def verify(shard, table, got):
             links = _links()
             ids, own, first, sizes, own_keys = starred(table)
+            if equal:
+                alike, same = equal(table, own, own_keys)
+                first[alike] = same
+                first = first[first]  # copies follow what stands for them
             copies = np.flatnonzero((first != np.arange(len(first))) & (sizes > 0))
             for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first[copies], ids[first[copies]]), strict=True):
                 column.append(x)
@@ -504,8 +521,13 @@ def _received(shards: Exchange, got):
     return source, item, ids, sizes, values
 
 
+def _pieces(table: pa.Table, items: np.ndarray) -> list[np.ndarray]:
+    """Items of a shard in pieces, so that the words of about PART bytes of text are in memory."""
+    return np.array_split(items, max(1, min(len(items), -(-table.nbytes // PART))))
+
+
 def _search(links, table, subset, asked, shard, index: Inverted, source, item, other_id, percent) -> None:
-    for names in np.array_split(asked, max(1, min(len(asked), -(-table.nbytes // PART)))):
+    for names in _pieces(table, asked):
         sets, ids, names, _ = subset(table, names)
         for q, found in index.search(sets.size, sets.values, percent):
             i = names[q]
