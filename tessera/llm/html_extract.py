@@ -2,8 +2,10 @@
 
 Each text node has a tag path from the root to its block. Per path the length and punctuation of its text are
 summed and divided by the number of nodes; both ratios are smoothed over neighbouring paths in page order, fused,
-and weighted by what the tags and their class or id say. Paths over a threshold are content. The content root is the
-container that holds most of their mass; the nodes below it that lie on no boilerplate path make the text.
+and weighted by what the tags and their class or id say. Paths over a threshold are content. Where they lie in article or
+main tags, the nodes of the container that holds most of their mass and of every article make the text, and of what lies
+around those in such a tag the content paths and headings; else the content paths and headings of the deepest container
+that holds nearly all mass. Nodes on a boilerplate path never do.
 
 Pages that are null, empty or without content give an empty text. Markup that is not closed, broken or unknown never
 fails: a tag that is not closed ends with its parent. Rows are independent.
@@ -154,11 +156,16 @@ def extract(page: str | None) -> str:
     if marked:
         top = max(marked.values())
         root = max((p for p, v in marked.items() if v >= 0.5 * top), key=len)
+        # whole: this container and every article; of what lies around them in a content tag, the chosen paths and headings
+        roots = {root, *(p for p in marked if p[-1].split(".")[0] == "article")}
     else:
         whole = max(mass.values(), default=0.0)
         root = max((p for p, v in mass.items() if v >= 0.9 * whole and p[-1].split(".")[0] not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt")), key=len, default=())
-    keep_all = bool(marked)
-    return "\n".join(line for b, line in zip(blocks, lines, strict=True) if line and not b[1] and b[0][: len(root)] == root and (keep_all or chosen[order[b[0]]] or re.match(r"h[1-6]\b", b[0][-1] if b[0] else "")))
+        roots = set()
+    within = lambda path, some: any(path[: len(p)] == p for p in some)
+    whole_of, around = {p for p in order if within(p, roots)}, {p for p in order if within(p, marked or {root})}
+    heading = lambda path: re.match(r"h[1-6]\b", path[-1] if path else "")
+    return "\n".join(line for b, line in zip(blocks, lines, strict=True) if line and not b[1] and (b[0] in whole_of or b[0] in around and (chosen[order[b[0]]] or heading(b[0]))))
 
 
 def extract_pages(df: DataFrame, html_column: str = "html", text_column: str = "text") -> DataFrame:

@@ -75,6 +75,14 @@ def test_html():
     assert [html_extract.extract(x) for x in (None, "", "<nav>x</nav>", "plain, text.", "<p>open")] == ["", "", "", "plain, text.", "open"]
 
 
+def test_html_of_several_articles():
+    long, short = "<p>Some long sentence, with a point, of the first part, and more of it.</p>" * 3, "<p>A second part, which is shorter.</p>"
+    body = f'<article class="one">{long}</article><article class="two">{short}<ul><li>x</li></ul></article>'
+    expected = ["Some long sentence, with a point, of the first part, and more of it."] * 3 + ["A second part, which is shorter.", "x"]
+    assert html_extract.extract(f"<body><main><h1>Title</h1><nav>Menu</nav>{body}</main><footer>End, here.</footer></body>").split("\n") == ["Title", *expected]
+    assert html_extract.extract(f"<body>{body}</body>").split("\n") == expected
+
+
 def test_pages_match_their_articles(spark):
     import html
 
