@@ -172,3 +172,10 @@ def test_bundle_and_policies(spark, tmp_path):
     assert set(compare.diagnostics(cells, counts)) >= {"spatial", "heatmap", "density"}
     with pytest.raises(ValueError):
         sources.require(cells, "nothing")
+
+
+def test_layout_checks_its_limit_first(spark, monkeypatch):
+    monkeypatch.setattr(preprocess, "DRIVER_LIMIT", 3)
+    monkeypatch.setattr(spatial, "neighbours", lambda *_: pytest.fail("neighbours before the limit"))
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        preprocess.layout(spark.range(5).select(F.col("id").alias("cell_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")))
