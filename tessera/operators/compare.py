@@ -60,13 +60,13 @@ def correlation_of_correlations(sim: DataFrame, ref: DataFrame, top: int = 50) -
     return stats.spearman(pick(sim).join(pick(ref).withColumnRenamed("r", "q"), ["g1", "g2"]), "r", "q")
 
 
-def compare_spatial(sim: DataFrame, ref: DataFrame, k: int = 5, rows: int = 1000, seed: int = 123) -> DataFrame:
-    """Mean distance to k neighbours and cv of distances, on z-scored coordinates of finite rows, at most `rows` of each (a sampling operator)."""
+def compare_spatial(sim: DataFrame, ref: DataFrame, k: int = 5, rows: int | None = None, seed: int = 123) -> DataFrame:
+    """Mean distance to k neighbours and cv of distances, on z-scored coordinates of finite rows: of all, or of a sample of at most `rows` of each."""
     out = None
     for name, df in (("simulated", sim), ("reference", ref)):
         ok = df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("x", "y")))
         z = ok.select("cell_id", *[zscore(F.col(c), stats.whole()).alias(c) for c in ("x", "y")]).where("x is not null and y is not null")
-        part = stats.uniform_sample(z, "cell_id", rows, seed)
+        part = z if rows is None else stats.uniform_sample(z, "cell_id", rows, seed)
         row = spatial.knn_mean_distance(part, k).agg(F.avg("mean_dist").alias("nn_dist")).crossJoin(spatial.distance_summary(part)).select(F.lit(name).alias("dataset"), "nn_dist", "mean_dist", "sd_dist", "cv")
         out = row if out is None else out.unionByName(row)
     return out

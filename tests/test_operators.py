@@ -179,3 +179,13 @@ def test_layout_checks_its_limit_first(spark, monkeypatch):
     monkeypatch.setattr(spatial, "neighbours", lambda *_: pytest.fail("neighbours before the limit"))
     with pytest.raises(ValueError, match="more than 3 rows"):
         preprocess.layout(spark.range(5).select(F.col("id").alias("cell_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")))
+
+
+def test_compare_spatial_takes_all_cells(spark):
+    cells = spark.range(1200).select(F.col("id").alias("cell_id"), (F.col("id") * F.col("id") % 1201).cast("double").alias("x"), (F.col("id") * 7 % 1201).cast("double").alias("y"))
+    got = {r["dataset"]: r for r in compare.compare_spatial(cells, cells.where("cell_id < 30")).collect()}
+    p = cells.toPandas()[["x", "y"]]
+    z = ((p - p.mean()) / p.std()).to_numpy()
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    far = d[~np.eye(len(d), dtype=bool)]
+    assert np.isclose(got["simulated"]["nn_dist"], np.sort(d, 1)[:, 1:6].mean()) and np.isclose(got["simulated"]["mean_dist"], far.mean()) and np.isclose(got["simulated"]["sd_dist"], far.std(ddof=1))
