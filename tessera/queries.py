@@ -443,8 +443,7 @@ def umap_embedding(spark, sf):
 
 @query()
 def simulate_counts(spark, sf):
-    p = Params(n_cells=300, n_genes=40, difficulty="easy")
-    return simulate.simulate(_pixels(spark, sf).select("x", "y", "value"), p)["expression"]
+    return simulate.simulate(_pixels(spark, sf).select("x", "y", "value"), Params())["expression"]
 
 
 @query()

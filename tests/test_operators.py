@@ -189,3 +189,9 @@ def test_compare_spatial_takes_all_cells(spark):
     d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
     far = d[~np.eye(len(d), dtype=bool)]
     assert np.isclose(got["simulated"]["nn_dist"], np.sort(d, 1)[:, 1:6].mean()) and np.isclose(got["simulated"]["mean_dist"], far.mean()) and np.isclose(got["simulated"]["sd_dist"], far.std(ddof=1))
+
+
+def test_simulate_counts_is_registered_at_full_size(spark):
+    pixels = simulate.threshold(queries._pixels(spark, DATA)).count()
+    got = queries.simulate_counts(spark, DATA).agg(F.count_distinct("cell_id").alias("c"), F.count_distinct("gene_id").alias("g")).first()
+    assert (got["c"], got["g"]) == (min(pixels, Params().n_cells), Params().n_genes)
