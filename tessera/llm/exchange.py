@@ -1,9 +1,12 @@
 """Questions from shards of a table to buckets of keys, and answers back.
 
-A table is dealt once into shards (by a hash of whole rows' keys, so no value gathers in one shard). A shard sums up
-its rows first and asks each bucket one packed question; a bucket owns a range of the 64-bit hash space and answers
-each shard. Keys that many rows share thus cross the network once a shard at most, however hot they are. The shards are
-one exchange that every later step reads again (Spark reuses it within a plan).
+A table is dealt once into shards (by a hash of whole rows' keys, so no value gathers in one shard); its rows travel as compressed
+blobs of Arrow data, one for each shard and buffer of a task. A shard sums up its rows first and asks each bucket one packed
+question; a bucket owns a range of the 64-bit hash space and answers each shard, so keys have to be spread evenly over it (mix
+them, if they are minima of hashes). Keys that many rows share thus cross the network once a shard at most, however hot they are. The
+shards are one exchange that every later step reads again (Spark reuses it within a plan).
+
+There are as many shards as shuffle partitions, or more where the plan's size says that a shard would exceed SHARD_BYTES.
 
 Rows of a shard are put in a fixed order (id, then text) wherever they are read, so a row's number means the same
 in every step. Rows equal in both are interchangeable.
@@ -20,9 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 _ROUTED = "_shard int, _bucket int, data binary"
+#: Bytes of rows that a task holds before it sends them as blobs.
+BUFFER = 1 << 25
+#: Bytes of input of a shard, as the plan's statistics tell them, and the most shards that these ask for (messages grow with the square).
+SHARD_BYTES, MOST_SHARDS = 1 << 28, 1 << 16
 
 
 def pack(*parts) -> bytes:
@@ -77,14 +85,15 @@ class Exchange:
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None, rest: list[str] | None = None):
         spark = df.sparkSession
-        self.n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.ids = even_ids(self.n)
-        ids = F.array(*map(F.lit, self.ids))
         more = [F.struct(*rest).alias("rest")] if rest else []
         rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *more)
+        self.n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-_plan_bytes(rows) // SHARD_BYTES)))
+        self.ids = even_ids(self.n)
+        ids = F.array(*map(F.lit, self.ids))
         self.rest = rows.schema["rest"].dataType if rest else None
+        self.schema = _large(to_arrow_schema(rows.schema))
         place: Column = F.pmod(F.xxhash64("id", "text"), F.lit(self.n)).cast("int")
-        self.rows = rows.withColumn("_shard", F.element_at(ids, place + 1)).repartition(self.n, "_shard")
+        self.rows = rows.withColumn("_shard", F.element_at(ids, place + 1)).mapInArrow(_blobs, "_shard int, blob binary").repartition(self.n, "_shard")
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "rows"}  # executors need the numbers only
@@ -126,11 +135,11 @@ class Exchange:
 
     def ask(self, question: Callable[[int, pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
         """question(shard, rows) gives (bucket number, data); each bucket number is 0..n-1."""
-        routed, ids = self.routed, self.ids
+        routed, ids, schema = self.routed, self.ids, self.schema
 
         def run(table: pa.Table) -> pa.Table:
             shard = table.column("_shard")[0].as_py()
-            return routed([(shard, ids[b], data) for b, data in question(shard, ordered(table))])
+            return routed([(shard, ids[b], data) for b, data in question(shard, opened(table, schema))])
 
         return self.rows.groupBy("_shard").applyInArrow(run, _ROUTED)
 
@@ -149,12 +158,12 @@ class Exchange:
         """`answers` are dealt to the shards they are for.
 
         use(shard, rows, (bucket number, unpacked answer) in order of buckets) gives rows of the schema."""
-        number = {x: i for i, x in enumerate(self.ids)}
+        number, rows = {x: i for i, x in enumerate(self.ids)}, self.schema
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             shard = (left if left.num_rows else right).column("_shard")[0].as_py()
             got = sorted((number[b], d) for b, d in zip(right.column("_bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
-            return use(shard, ordered(left), [(b, unpack(d)) for b, d in got])
+            return use(shard, opened(left, rows), [(b, unpack(d)) for b, d in got])
 
         return self.rows.groupBy("_shard").cogroup(answers.repartition(self.n, "_shard").groupBy("_shard")).applyInArrow(run, schema)
 
@@ -167,6 +176,72 @@ def row_ids(table: pa.Table) -> np.ndarray:
     return np.asarray(pc.fill_null(table.column("id"), NO_ID)).astype(np.int64)
 
 
+def _plan_bytes(df: DataFrame) -> int:
+    """The size of a plan's rows as Spark estimates it; 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def _large(schema: pa.Schema) -> pa.Schema:
+    """Texts with 64-bit offsets."""
+    return schema.set(schema.get_field_index("text"), pa.field("text", pa.large_string()))
+
+
+def _blobs(batches):
+    """Rows (id, text, rest, _shard) as blobs (_shard, blob) of one shard each."""
+
+    def blobs(held):
+        rows = pa.Table.from_batches(held)
+        shard = rows.column("_shard").to_numpy()
+        rows = rows.drop_columns(["_shard"])
+        rows = rows.cast(_large(rows.schema))
+        order = np.argsort(shard, kind="stable")
+        rows, shard = rows.take(pa.array(order)).combine_chunks(), shard[order]
+        cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)).tolist()
+        found = []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+                out.write_table(rows.slice(x, y - x))
+            found.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int32()), pa.array(found, pa.binary())], ["_shard", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > BUFFER:
+            yield blobs(held)
+            held, size = [], 0
+    if held:
+        yield blobs(held)
+
+
+def opened(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The rows of a shard's blobs, in order."""
+    found = [pa.ipc.open_stream(x.as_buffer()).read_all().cast(schema) for x in table.column("blob")]
+    return ordered(pa.concat_tables(found) if found else schema.empty_table())
+
+
+def strings(offsets: np.ndarray, data: np.ndarray) -> pa.ChunkedArray:
+    """Texts from their bytes and offsets, in chunks that 32-bit offsets reach."""
+    n = len(offsets) - 1
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return short_strings(whole)
+
+
+def short_strings(column) -> pa.ChunkedArray:
+    """A column of texts in chunks that 32-bit offsets reach."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    cut = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1 << 30, int(ends[-1]) if len(ends) else 0, 1 << 30)), [len(ends)]])).tolist()
+    return pa.chunked_array([x for i, j in zip(cut[:-1], cut[1:], strict=True) for x in _chunks(column.slice(i, j - i).cast(pa.large_string()).cast(pa.string()))], pa.string())
+
+
+def _chunks(column) -> list:
+    return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """Rows in order of id (nulls last), then text."""
     if table.num_rows < 2:

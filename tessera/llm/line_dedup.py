@@ -14,8 +14,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import Exchange, row_ids
-from tessera.llm.setjoin import Join, Sets, frequent_elements
+from tessera.llm.exchange import Exchange, row_ids, strings
+from tessera.llm.setjoin import LEFT_OUT, Join, Sets, frequent_elements
 from tessera.llm.textops import SPACE_WORDS, Words, column_bytes
 
 PERCENT = 80
@@ -48,10 +48,10 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, int]:
     return words.row_of(), words.hash, len(words.rows) - 1
 
 
-def _items(table: pa.Table, frequent, which):
+def _items(table: pa.Table, rarity, which):
     lines = Lines(table.column("text"))
     words = lines.words(which)
-    return Sets(words.row_of(), words.hash, len(words.rows) - 1, frequent), row_ids(table)[lines.row]
+    return Sets(words.row_of(), words.hash, len(words.rows) - 1, rarity), row_ids(table)[lines.row]
 
 
 def _bags(table: pa.Table):
@@ -62,14 +62,18 @@ def _bags(table: pa.Table):
 
 def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
     """(doc_id, kept, n_lines, n_removed) for each row, and a struct `rest` of other columns; kept is the text without its removed lines."""
-    frequent = frequent_elements(documents.select(text), lambda batch: tokens(batch.column(0)))
+    rarity = frequent_elements(documents.select(text), lambda batch: tokens(batch.column(0)))
     shards = Exchange(documents, key, text, rest=rest)
-    join = Join(shards, _items, _bags, percent, frequent, link_equal=True)
-    # of two linked lines the later one goes
-    here, there = F.struct("id", "shard", "item"), F.struct("other_id", "other_shard", "other_item")
-    later = lambda links: links.select(F.when(here > there, here).otherwise(F.struct(F.col("other_id").alias("id"), F.col("other_shard").alias("shard"), F.col("other_item").alias("item"))).alias("x")).select(F.col("x.shard").alias("_shard"), F.col("x.item").alias("item"), F.lit(1).alias("value")).distinct()
+    join = Join(shards, _items, _bags, percent, rarity, link_equal=True)
+    # of two linked lines the later one goes (state 1), and has no part in the second round if it equals the other
+    here, there = F.struct("id", "shard", "item"), F.struct(F.col("other_id").alias("id"), F.col("other_shard").alias("shard"), F.col("other_item").alias("item"))
+
+    def later(links: DataFrame) -> DataFrame:
+        rows = links.select(F.when(here > there, here).otherwise(there).alias("x"), F.when(F.col("same") & (here > there), LEFT_OUT).otherwise(1).alias("value"))
+        return rows.groupBy(F.col("x.shard").alias("_shard"), F.col("x.item").alias("item")).agg(F.min("value").alias("value"))
+
     first = shards.tell(later(join.stars()))
-    more = shards.tell(later(join.lists(first, lambda a, b: (a == 0) | (b == 0), lambda shard, items: np.zeros(len(items), np.int64))))
+    more = shards.tell(later(join.lists(first, lambda a, b: (a == 0) | (b == 0), lambda low, high: low == 0, lambda shard, items: np.zeros(len(items), np.int64))))
 
     def use(shard: int, table: pa.Table, got) -> pa.Table:
         lines = Lines(table.column("text"))
@@ -90,10 +94,12 @@ def removals(documents: DataFrame, *, percent: int = PERCENT, key: str = "doc_id
         sums = np.zeros(len(lines.rows) - 1, np.int64)
         np.add.at(sums, row, size)
         offs = np.concatenate([[0], np.cumsum(sums)])
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sums), [None, pa.py_buffer(offs), pa.py_buffer(data[source])]).cast(pa.large_string()).cast(pa.string())
+        out = strings(offs, data[source])
         total = np.concatenate([[0], np.cumsum(gone)])
         if table.column("text").null_count:
-            out = pa.compute.if_else(table.column("text").is_valid(), out, None)
+            valid = table.column("text").is_valid().combine_chunks()
+            ends = np.cumsum([0, *map(len, out.chunks)]).tolist()
+            out = pa.chunked_array([pa.compute.if_else(valid.slice(x, len(c)), c, None) for x, c in zip(ends, out.chunks, strict=False)], pa.string())
         more = {"rest": table.column("rest")} if rest else {}
         return pa.table({"doc_id": table.column("id"), "kept": out, "n_lines": pa.array(np.diff(lines.rows), pa.int64()), "n_removed": pa.array(total[lines.rows[1:]] - total[lines.rows[:-1]], pa.int64()), **more})
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import NO_ID, Exchange, row_ids
-from tessera.llm.setjoin import Join, Sets, frequent_elements
+from tessera.llm.exchange import NO_ID, Exchange, row_ids, short_strings
+from tessera.llm.setjoin import LEFT_OUT, Join, Sets, frequent_elements
 from tessera.llm.store import components, written
 from tessera.llm.textops import SPACE_WORDS, Words, kgram_hashes, mix, window_starts
 
@@ -33,43 +33,39 @@ def ngrams(column, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(item), np.concatenate(value), len(count)
 
 
-def gid(shard: str, item: str):
-    return F.col(shard).cast("long") * _GID + F.col(item)
-
-
-def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, first) for each row, and a struct `rest` of other columns.
+def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rest: list[str] | None = None, texts: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, first) for each row, with `texts` its text, and a struct `rest` of other columns.
 
     component_id is the least id reachable by links; first marks one row of each component (of those of its least id), and each row without words.
     """
     def batch_ngrams(batch):
         return ngrams(batch.column(0), n)
 
-    def items(table: pa.Table, frequent, which):
+    def items(table: pa.Table, rarity, which):
         item, value, rows = ngrams(table.column("text") if which is None else table.column("text").take(pa.array(which)), n)
-        return Sets(item, value, rows, frequent), row_ids(table)
+        return Sets(item, value, rows, rarity), row_ids(table)
 
     def bags(table: pa.Table):
         item, value, rows = ngrams(table.column("text"), n)
         order = np.argsort(item, kind="stable")
         return item[order], value[order], rows, row_ids(table)
 
-    frequent = frequent_elements(documents.select(text), batch_ngrams)
+    rarity = frequent_elements(documents.select(text), batch_ngrams)
     shards = Exchange(documents, key, text, rest=rest)
-    join = Join(shards, items, bags, percent, frequent)
-    nodes = lambda links: links.select(gid("shard", "item").alias("a"), gid("other_shard", "other_item").alias("b"))
-    names = lambda links: links.select(gid("shard", "item").alias("node"), "id").union(links.select(gid("other_shard", "other_item"), "other_id"))
+    join = Join(shards, items, bags, percent, rarity)
+    # a node is (id, shard, item), so that the least node of a component has its least id
+    here, there = F.struct("id", "shard", "item"), F.struct(F.col("other_id").alias("id"), F.col("other_shard").alias("shard"), F.col("other_item").alias("item"))
+    nodes = lambda links: links.select(here.alias("a"), there.alias("b"))
+    place = lambda rows, value: rows.select(F.col("node.shard").alias("_shard"), F.col("node.item").alias("item"), value.cast("long").alias("value"))
     first = written(join.stars())
-    joined = components(nodes(first))
-    own = lambda rows: rows.select(F.shiftright("node", 32).cast("int").alias("_shard"), (F.col("node") % _GID).alias("item"), "value")
-    more = written(join.lists(shards.tell(own(joined.withColumnRenamed("root", "value"))), lambda a, b: a != b, lambda shard, items: shard * _GID + items))
-    joined = written(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(nodes(more))))
-    named = names(first).union(names(more)).distinct().join(joined, "node")
-    least = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"))
-    ids = own(joined.join(least, "root").withColumn("value", F.col("least.id")))
+    joined = written(components(nodes(first)), large=False)
+    states = place(joined, F.col("root.shard").cast("long") * _GID + F.col("root.item")).union(first.where("same").select(F.col("shard").alias("_shard"), "item", F.lit(LEFT_OUT).cast("long").alias("value")))
+    states = states.groupBy("_shard", "item").agg(F.min("value").alias("value"))
+    more = written(join.lists(shards.tell(states), lambda a, b: a != b, lambda low, high: low < high, lambda shard, items: shard * _GID + items))
+    joined = written(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(nodes(more))), large=False)
     # a negative item tells which node is the first of its component
-    firsts = own(least.select(F.col("least.node").alias("node"), F.lit(0).cast("long").alias("value"))).withColumn("item", -1 - F.col("item"))
-    answer = shards.tell(ids.union(firsts))
+    firsts = place(joined.where(F.col("node") == F.col("root")), F.lit(0)).withColumn("item", -1 - F.col("item"))
+    answer = shards.tell(place(joined, F.col("root.id")).union(firsts))
     sets_of = join.sets
 
     def use(shard: int, table: pa.Table, got) -> pa.Table:
@@ -84,10 +80,10 @@ def duplicates(documents: DataFrame, *, n: int = 4, percent: int = 85, key: str
         alone = sizes == 0
         out = np.where(alone, ids, out[first_of])
         # copies in the shard carry the id of the first, which is the least of them
-        more = {"rest": table.column("rest")} if rest else {}
+        more = ({"text": short_strings(table.column("text"))} if texts else {}) | ({"rest": table.column("rest")} if rest else {})
         return pa.table({"doc_id": table.column("id"), "n_shingles": pa.array(sizes), "component_id": pa.array(out, mask=out == NO_ID), "first": pa.array(first | alone), **more})
 
-    return shards.back(answer, use, shards.with_rest("doc_id long, n_shingles long, component_id long, first boolean"))
+    return shards.back(answer, use, shards.with_rest("doc_id long, n_shingles long, component_id long, first boolean" + ", text string" * texts))
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -98,5 +94,7 @@ def report(documents: DataFrame) -> DataFrame:
 def first_of_each(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each group of near duplicates, one of those with the least id, and every row without words, as they came."""
     names = documents.columns
-    found = duplicates(documents, n=n, percent=percent, rest=names).where("first")
-    return found.select(*[F.col("rest")[c].alias(c) for c in names])
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    found = duplicates(documents, n=n, percent=percent, rest=rest or None, texts=True).where("first")
+    value = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id").cast(documents.schema["doc_id"].dataType), "text": F.col("text")}
+    return found.select(*[value[c].alias(c) for c in names])

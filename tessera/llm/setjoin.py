@@ -7,7 +7,9 @@ and what the merge leaves possible is probed in those (DivideSkip); sets with th
 
 It runs in two rounds. Stars: sets with an equal key of min-hashes are compared with the first such set only, which joins nearly all
 near copies at a cost linear in their number. Lists: all other pairs that pass the filters. The caller's `state` of
-the sets says which pairs the second round may leave out (those in one component, or those that decide nothing).
+the sets says which pairs the second round may leave out (those in one component, or those that decide nothing), and sets
+that equal an earlier one, which has the same partners, take no part in it at all. A bucket's lists are compared in parts of
+bounded size.
 
 A shard holds equal sets once; equal elements of a shard cross the network once where only a minimum matters. A set
 travels to each shard that needs it once, and in the second round only after its sketch (two bits an element) has
@@ -34,30 +36,55 @@ STARS, DEPTH = 4, 4
 SPREAD = 20_000
 #: Sets of at most so many elements send a sketch of 32 or of 64 bits, larger ones of 128.
 LEVELS = (24, 80)
-#: Bytes of text whose words are in memory at once.
-PART = 1 << 22
+#: Bytes of text whose words are in memory at once, and postings of a bucket that are compared at once.
+PART, POSTINGS = 1 << 22, 400_000
+#: The state of a set that equals an earlier one.
+LEFT_OUT = -1
 #: Postings that are merged at once.
 GROUP = 1 << 20
-_LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long"
+_LINK = "shard int, item long, id long, other_shard int, other_item long, other_id long, same boolean"
+
+
+class Rarity:
+    """The global order: elements that many sets hold, sorted, and the rank of each by how many; all others come first."""
+
+    def __init__(self, keys: np.ndarray = (), ranks: np.ndarray = ()):
+        self.keys, self.ranks = np.asarray(keys, np.uint64), np.asarray(ranks, np.int64)
+        self.bits = max(1, len(self.keys).bit_length() + 1)  # a slot of the hash space holds half an element
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def level(self, value: np.ndarray) -> np.ndarray:
+        """Rank + 1 of the elements that are frequent, 0 of others."""
+        out = np.zeros(len(value), np.uint64)
+        if not len(self.keys):
+            return out
+        slot = (value >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        on = np.flatnonzero(at < end)
+        at, end = at[on], end[on]
+        while len(on):
+            hit = self.keys[at] == value[on]
+            out[on[hit]] = self.ranks[at[hit]] + 1
+            at = at + 1
+            more = ~hit & (at < end)
+            on, at, end = on[more], at[more], end[more]
+        return out
 
 
 class Sets:
     """Sets of 64-bit elements: those of set i are values[first[i]:first[i + 1]], in the global order."""
 
-    def __init__(self, item: np.ndarray, value: np.ndarray, items: int, frequent: dict | tuple = ((), ())):
-        heavy, rank = np.asarray(frequent[0], np.uint64), np.asarray(frequent[1], np.int64)
-        order = np.argsort(value)
-        item, value = item[order], value[order]
-        level = np.zeros(len(value), np.int64)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)
-            level = np.where(heavy[at] == value, rank[at] + 1, 0)
-        # by item and level; the place among the sorted values settles the rest
-        bits = max(1, int(len(value)).bit_length())
-        key = (item * (int(level.max(initial=0)) + 1) + level) << bits | np.arange(len(value))
-        key.sort()
-        order = key & (1 << bits) - 1
+    def __init__(self, item: np.ndarray, value: np.ndarray, items: int, rarity: Rarity | None = None):
+        level = (rarity or Rarity()).level(value)
+        # one number of item, level and the upper bits of the value orders all but ties, which are rare
+        low = 64 - max(1, int(items).bit_length()) - max(1, int(level.max(initial=0)).bit_length())
+        key = (item.astype(np.uint64) << np.uint64(64 - max(1, int(items).bit_length()))) | level << np.uint64(low) | value >> np.uint64(64 - low)
+        order = np.argsort(key)
+        key = key[order]
         item, value = item[order], value[order]
+        if ((key[1:] == key[:-1]) & (value[1:] != value[:-1])).any():
+            again = np.lexsort((value, key))
+            item, value = item[again], value[again]
         fresh = np.ones(len(item), bool)
         fresh[1:] = (item[1:] != item[:-1]) | (value[1:] != value[:-1])
         self.item, self.values = item[fresh], value[fresh]
@@ -125,6 +152,7 @@ class Bags:
         return key
 
 
+_SPREAD = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, STARS * DEPTH, dtype=np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -143,7 +171,7 @@ class Inverted:
         self.codes = np.repeat(np.arange(len(self.keys)), self.end - self.start) * len(sizes) + self.posts  # list and set, ascending
 
     def search(self, sizes: np.ndarray, values: np.ndarray, percent: int):
-        """(queries, sets) whose similarity is at least percent / 100, by DivideSkip; queries are searched in groups of bounded work.
+        """(queries, sets, whether equal) of similarity percent / 100 or more, by DivideSkip; queries are searched in groups of bounded work.
 
         sizes: elements of each query; values: these, one query after the other.
         """
@@ -193,7 +221,7 @@ class Inverted:
             place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             total[on] += self.codes[place] == code
         ok = 100 * total >= percent * (sizes[q] + self.sizes[found] - total)
-        return q[ok], found[ok]
+        return q[ok], found[ok], ((total == sizes[q]) & (total == self.sizes[found]))[ok]
 
 
 def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,15 +250,16 @@ def joined(arrays: list[np.ndarray], kind=np.int64) -> np.ndarray:
 class Join:
     """The join over the items of a table's shards.
 
-    items(table, frequent, which) gives the sets of a shard (of the items `which` only, where it isn't None), and the id of
+    items(table, rarity, which) gives the sets of a shard (of the items `which` only, where it isn't None), and the id of
     each item's row; bags(table): (item, element, number of items) by rising item, and those ids; percent: the similarity.
     Items are in order of their row's id; the first of equal sets stands for all of them in its shard. lists() leaves the others out, so a
     caller gives them what it told the first, or has stars() link them to it (`link_equal`).
     """
 
-    def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, frequent=((), ()), *, link_equal: bool = False):
+    def __init__(self, shards: Exchange, items: Callable, bags: Callable, percent: int, rarity: Rarity | None = None, *, link_equal: bool = False):
         self.link_equal = link_equal
-        self.shards, self.items, self.bags, self.percent, self.frequent = shards, items, bags, percent, frequent
+        self.shards, self.items, self.bags, self.percent = shards, items, bags, percent
+        self.rarity = shards.rows.sparkSession.sparkContext.broadcast(rarity or Rarity())
 
     def starred(self, table: pa.Table):
         """Ids of the items, those that stand for themselves and others, which does for each, sizes and star keys of all."""
@@ -253,7 +282,7 @@ class Join:
         """As sets(), and value, item and place of the prefix elements of those, by value, and the sketch of each item."""
         ids, sizes, names, sketches, found, count = [], [], [], [], [], 0
         for part in parts(table):
-            sets, own_ids = self.items(part, self.frequent, None)
+            sets, own_ids = self.items(part, self.rarity.value, None)
             ids.append(own_ids)
             sizes.append(sets.size)
             names.append(sets.names())
@@ -262,7 +291,8 @@ class Join:
                 n = np.where(sets.size > 0, sets.size - -(-self.percent * sets.size // 100) + 1, 0)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 item = np.repeat(np.arange(len(n)), n)
-                found.append((sets.values[sets.first[item] + place], item + count, place))
+                # in this order low hashes come first: mixed again, they spread over the buckets
+                found.append((mix(sets.values[sets.first[item] + place] + _SPREAD), item + count, place))
             count += len(own_ids)
         first, sizes = first_of(joined(names, np.uint64)), joined(sizes)
         own = (first == np.arange(len(first))) & (sizes > 0)
@@ -274,7 +304,7 @@ class Join:
     def subset(self, table: pa.Table, item: np.ndarray):
         """Sets and ids of the distinct ones of some items, these, and the place of each item among them."""
         which, at = np.unique(item, return_inverse=True)
-        sets, ids = self.items(table, self.frequent, which)
+        sets, ids = self.items(table, self.rarity.value, which)
         return sets, ids[which], which, at
 
     def equal(self, table: pa.Table, own: np.ndarray, keys: np.ndarray):
@@ -297,10 +327,11 @@ class Join:
             keys, first, times = np.unique(keys[:, own].ravel(), return_index=True, return_counts=True)  # the first item of a key is the least
             item = own[first % max(len(own), 1)]
             cut = shards.cuts(keys)
-            return [(b, pack(keys[x:y], _small(item[x:y]), ids[item[x:y]], times[x:y] > 1)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            return [(b, pack(keys[x:y], _small(item[x:y]), _near(ids[item[x:y]]), times[x:y] > 1)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
 
         def reply(got):
-            key, item, ids, many = (np.concatenate([q[k] for _, q in got]) for k in range(4))
+            key, item, many = (np.concatenate([q[k] for _, q in got]) for k in (0, 1, 3))
+            ids = np.concatenate([_from_near(q[2]) for _, q in got])
             shard = np.repeat([s for s, _ in got], [len(q[0]) for _, q in got])
             order = np.lexsort((item, shard, ids, key))
             key, item, shard, many = key[order], item[order], shard[order], many[order]
@@ -332,7 +363,7 @@ class Join:
                 first[alike] = same
                 first = first[first]  # copies follow what stands for them
             copies = np.flatnonzero((first != np.arange(len(first))) & (sizes > 0))
-            for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first[copies], ids[first[copies]]), strict=True):
+            for column, x in zip(links, (np.full(len(copies), shard), copies, ids[copies], np.full(len(copies), shard), first[copies], ids[first[copies]], np.ones(len(copies), bool)), strict=True):
                 column.append(x)
             if got:
                 source, item, other_id, sizes, values = _received(shards, got)
@@ -343,11 +374,11 @@ class Join:
 
         return shards.back(shards.back(shards.answer(shards.ask(question), reply), send, "_shard int, _bucket int, data binary"), verify, _LINK)
 
-    def lists(self, states: DataFrame | None, may_differ: Callable[[np.ndarray, np.ndarray], np.ndarray], default: Callable) -> DataFrame:
+    def lists(self, states: DataFrame | None, may_differ: Callable[[np.ndarray, np.ndarray], np.ndarray], matters: Callable[[np.ndarray, np.ndarray], np.ndarray], default: Callable) -> DataFrame:
         """Links between sets that share a prefix element and pass the filters.
 
         states: (_shard, _bucket, data) with packed (items, states); default(shard, items) gives the state of items that have none.
-        may_differ(state, other state) says which pairs matter.
+        may_differ(state, other state) says which pairs matter, matters(least state, greatest state) which lists can hold such pairs.
         """
         shards, prefixes, subset, percent = self.shards, self.prefixes, self.subset, self.percent
 
@@ -357,6 +388,9 @@ class Join:
             for _, (which, told) in got:
                 state[which] = told
             odd = state != default(shard, np.arange(len(ids)))
+            on = np.flatnonzero(state[item] != LEFT_OUT)
+            order = on[np.argsort(value[on])]
+            value, item, place = value[order], item[order], place[order]
             cut = shards.cuts(value)
             out = []
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -369,58 +403,68 @@ class Join:
             return shards.routed(out)
 
         def reply(got):
-            value = np.concatenate([q[0] for _, q in got])
-            counts = np.array([len(q[0]) for _, q in got])
-            shard = np.repeat(np.array([s for s, _ in got], np.int64), counts)
-            item, place, size = (np.concatenate([q[k] for _, q in got]).astype(np.int64) for k in (1, 2, 3))
-            level, sketch = _level(size), np.zeros((2, len(value)), np.uint64)
-            for k in range(2):
-                sketch[0, level == k] = np.concatenate([q[4][k] for _, q in got])
-            sketch[:, level == 2] = np.concatenate([q[4][2] for _, q in got], 1)
-            state = default(shard, item)
-            state[np.concatenate([q[5] + b for (_, q), b in zip(got, np.cumsum(counts) - counts, strict=True)]).astype(np.int64)] = np.concatenate([q[6] for _, q in got])
+            asked = [(s, _Postings(q)) for s, q in got]
+            top = np.cumsum([0, *(int(p.item.max()) + 1 for _, p in asked)])  # each item of each shard gets a number
+            owner, names = np.array([s for s, _ in asked]), int(top[-1])
+            every = sum(len(p.value) for _, p in asked)
+            cuts = np.linspace(0, max(int(p.value[-1]) for _, p in asked) + 1, -(-every // POSTINGS) + 1).astype(np.int64)
+            pairs = []  # each one number
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                pairs += compared([(s, k, p.between(low, high)) for k, (s, p) in enumerate(asked)], top, names)
+                if sum(map(len, pairs)) > 1_000_000:
+                    pairs = [np.unique(np.concatenate(pairs))]
+            if not pairs:
+                return []
+            x, y = np.divmod(np.unique(np.concatenate(pairs)), names)
+            place, other = np.searchsorted(top, x, "right") - 1, np.searchsorted(top, y, "right") - 1
+            cut = np.append(_starts(place), len(x)).tolist()
+            return [(int(owner[place[i]]), pack(_small(x[i:j] - top[place[i]]), _small(owner[other[i:j]]), _small(y[i:j] - top[other[i:j]]))) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+        def compared(some, top, names):
+            """Pairs of the items of some lists that pass the filters, those of a list by rising size."""
+            value = np.concatenate([p.value for _, _, p in some])
+            size, place = (np.concatenate([getattr(p, n) for _, _, p in some]).astype(np.int64) for n in ("size", "place"))
+            number = np.concatenate([p.item.astype(np.int64) + top[k] for _, k, p in some])
+            state = np.concatenate([p.states(default(s, p.item.astype(np.int64))) for s, _, p in some])
             order = np.lexsort((size, value))  # rising sizes within a list: partners that are too large come last
             start = _starts(value[order])
+            if not len(start):
+                return []
+            ordered = state[order]
+            use = matters(np.minimum.reduceat(ordered, start), np.maximum.reduceat(ordered, start))  # lists of one, among others, decide nothing
             n = np.diff(np.append(start, len(value)))
-            order = order[np.repeat(n > 1, n)]  # lists of one decide nothing
-            sketch = sketch[:, order]
-            shard, item, place, size, level, state, value = (x[order] for x in (shard, item, place, size, level, state, value))
-            word = sketch[0] ^ sketch[1]
+            order = order[np.repeat(use & (n > 1), n)]
+            sketch = np.concatenate([p.sketches() for _, _, p in some], 1)[:, order]
+            number, place, size, state, value = (x[order] for x in (number, place, size, state, value))
+            level, word = _level(size), sketch[0] ^ sketch[1]
             half = _fold(word)
             start = _starts(value)
             n = np.diff(np.append(start, len(value)))
             end = np.repeat(start + n, n)
-            names, number = np.unique(shard << 32 | item, return_inverse=True)
-            pairs = []  # each one number
+            pairs = []
             at, step = np.arange(len(value)), 1  # element i against element i + step of its list
             while True:
                 at = at[at + step < end[at]]
                 if not len(at):
-                    break
+                    return pairs
                 x, y = at, at + step
                 a, b = size[x], size[y]
                 t = required(percent, a, b)
                 ok = (a - place[x] >= t) & (100 * a >= percent * b)  # what fails here fails with all that follow
                 at, y, b, t = at[ok], y[ok], b[ok], t[ok]
-                ok = b - place[y] >= t
+                ok = (b - place[y] >= t) & may_differ(state[at], state[y])
                 x, y, b, t = at[ok], y[ok], b[ok], t[ok]
                 a = size[x]
                 low = np.minimum(level[x], level[y])  # sketches are compared as the shorter one is
-                ok = (np.bitwise_count(np.where(low > 0, word[x] ^ word[y], half[x] ^ half[y])) <= a + b - 2 * t) & may_differ(state[x], state[y])
+                ok = np.bitwise_count(np.where(low > 0, word[x] ^ word[y], half[x] ^ half[y])) <= a + b - 2 * t
                 x, y, a, b, t, low = x[ok], y[ok], a[ok], b[ok], t[ok], low[ok]
                 apart = np.bitwise_count(sketch[0, x] ^ sketch[0, y]).astype(np.int64) + np.bitwise_count(sketch[1, x] ^ sketch[1, y])
                 ok = (low < 2) | (apart <= a + b - 2 * t)
                 if ok.any():
-                    pairs.append(number[x[ok]] * len(names) + number[y[ok]])
+                    pairs.append(number[x[ok]] * names + number[y[ok]])
                     if sum(map(len, pairs)) > 1_000_000:
                         pairs = [np.unique(np.concatenate(pairs))]
                 step += 1
-            if not pairs:
-                return []
-            x, y = (names[k] for k in np.divmod(np.unique(np.concatenate(pairs)), len(names)))
-            cut = np.append(_starts(x >> 32), len(x))
-            low = 0xFFFFFFFF
-            return [(int(x[i] >> 32), pack(_small(x[i:j] & low), _small(y[i:j] >> 32), _small(y[i:j] & low))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
         def outline(shard, table, got):
             """Sketches of the sets, two bits an element or more, to the shards of their candidates."""
@@ -487,6 +531,37 @@ class Join:
         return shards.back(found, verify, _LINK)
 
 
+class _Postings:
+    """A shard's postings of a bucket, by value, as they came; or those of a range of values."""
+
+    def __init__(self, question: tuple):
+        self.value, self.item, self.place, self.size, self.short, self.told, self.told_states = question
+        level = _level(self.size)
+        self.begin = [np.concatenate([[0], np.cumsum(level == k)]) for k in range(3)]  # where each posting's sketch is among those of its level
+        self.low, self.high = 0, len(self.value)
+
+    def between(self, low: int, high: int) -> _Postings:
+        """Those of values from low up to (not including) high."""
+        out = object.__new__(_Postings)
+        x, y = np.searchsorted(self.value, [low, high]).tolist()
+        out.value, out.item, out.place, out.size = self.value[x:y], self.item[x:y], self.place[x:y], self.size[x:y]
+        out.short = tuple(part[..., begin[x] : begin[y]] for part, begin in zip(self.short, self.begin, strict=True))
+        i, j = np.searchsorted(self.told, [x, y])
+        out.told, out.told_states = self.told[i:j].astype(np.int64) - x, self.told_states[i:j]
+        return out
+
+    def states(self, default: np.ndarray) -> np.ndarray:
+        default[self.told] = self.told_states
+        return default
+
+    def sketches(self) -> np.ndarray:
+        level, out = _level(self.size), np.zeros((2, len(self.value)), np.uint64)
+        for k in range(2):
+            out[0, level == k] = self.short[k]
+        out[:, level == 2] = self.short[2]
+        return out
+
+
 def _sketch_words(size: np.ndarray) -> np.ndarray:
     """Words of a sketch of at least two bits an element: a power of two, four at least."""
     return (1 << np.ceil(np.log2(np.maximum(size / 32, 4))).astype(np.int64)).astype(np.int64)
@@ -506,13 +581,23 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _near(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """Numbers as differences to the least of them."""
+    least = int(x.min(initial=0))
+    return least, _small((x - least).view(np.uint64))
+
+
+def _from_near(near: tuple[int, np.ndarray]) -> np.ndarray:
+    return near[1].astype(np.uint64).view(np.int64) + near[0]
+
+
 def _starts(v: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts."""
     return np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
 
 
 def _links() -> list[list]:
-    return [[] for _ in range(6)]
+    return [[] for _ in range(7)]
 
 
 def _received(shards: Exchange, got):
@@ -529,30 +614,32 @@ def _pieces(table: pa.Table, items: np.ndarray) -> list[np.ndarray]:
 def _search(links, table, subset, asked, shard, index: Inverted, source, item, other_id, percent) -> None:
     for names in _pieces(table, asked):
         sets, ids, names, _ = subset(table, names)
-        for q, found in index.search(sets.size, sets.values, percent):
+        for q, found, same in index.search(sets.size, sets.values, percent):
             i = names[q]
             other = (source[found] != shard) | (item[found] != i)
-            q, i, found = q[other], i[other], found[other]
-            for column, x in zip(links, (np.full(len(found), shard), i, ids[q], source[found], item[found], other_id[found]), strict=True):
+            q, i, found, same = q[other], i[other], found[other], same[other]
+            # equal to an earlier one
+            same &= (other_id[found] < ids[q]) | (other_id[found] == ids[q]) & ((source[found] < shard) | (source[found] == shard) & (item[found] < i))
+            for column, x in zip(links, (np.full(len(found), shard), i, ids[q], source[found], item[found], other_id[found], same), strict=True):
                 column.append(x)
 
 
 def _table(links: list[list]) -> pa.Table:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
     names = [x.split()[0] for x in _LINK.split(", ")]
     return pa.table({n: pa.array(np.concatenate(c) if c else [], k) for n, c, k in zip(names, links, kinds, strict=True)})
 
 
-def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]], *, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that many sets hold, sorted, and a rank by how many (coarse, so that it is alike in every run).
+def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, int]], *, spread: int = SPREAD) -> Rarity:
+    """Elements that many sets hold, and a rank by how many (coarse, so that it is alike in every run).
 
     elements(batch) gives (set number, element, number of sets); an element that a set repeats counts as often. A batch tells of the elements that more than one in
     `spread` of its sets hold, so the driver gets at most spread x mean size x batches small rows, summed by Spark first; of the sums,
     at most spread x mean size pass. The order only speeds up the join: any order gives the same links.
     """
     def run(batches):
-        for batch in sliced(batches, 4096):
-            found = [elements(part) for part in sliced([batch], 512)]
+        for batch in sliced(batches, 4096, 4 * PART):
+            found = [elements(part) for part in sliced([batch], 512, PART)]
             n = sum(x[2] for x in found)
             keys, counts = np.unique(joined([x[1] for x in found], np.uint64), return_counts=True)
             often = counts > max(3, n / spread)
@@ -565,4 +652,4 @@ def frequent_elements(df: DataFrame, elements: Callable[[pa.RecordBatch], tuple[
     rows = sums.where(~F.col("total")).crossJoin(F.broadcast(bound)).where(F.col("n") * spread * 2 > F.col("all")).select("key", F.floor(F.log2("n") * 2).cast("long").alias("rank")).toArrow()
     keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows.column("rank").to_numpy()[order]
+    return Rarity(keys[order], rows.column("rank").to_numpy()[order])

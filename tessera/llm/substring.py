@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import Exchange, pack, pack_counts, unpack_counts
+from tessera.llm.exchange import Exchange, pack, pack_counts, strings, unpack_counts
 from tessera.llm.textops import SPACE_WORDS, Words, kgram_hashes, mix, window_starts
 
 WINDOW, ANCHOR = 35, 12
@@ -29,6 +29,7 @@ WINDOW, ANCHOR = 35, 12
 FREQUENT = 2000
 #: Parts of a block that are indexed one after the other.
 PARTS = 16
+_SPREAD = np.uint64(0x5851F42D4C957F2D)
 
 
 class Windows:
@@ -56,7 +57,7 @@ class Windows:
         fresh[1:] = (place[1:] != place[:-1]) | (self.start[1:] != self.start[:-1] + 1)
         self.low = np.flatnonzero(fresh)  # first and last window of each anchor's run
         self.high = np.append(self.low[1:], len(place)) - 1
-        self.key = grams[place[self.low]]
+        self.key = mix(grams[place[self.low]] + _SPREAD)  # least hashes are mixed again, to spread over the buckets
 
     def stretches(self) -> np.ndarray:
         """A hash of the words of each run: its windows at both ends cover them all."""
@@ -235,7 +236,7 @@ def mark(documents: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, ke
         lengths = np.zeros(len(rows) - 1, np.int64)
         np.add.at(lengths, row, words.end[kept] - words.start[kept] + more)
         offs = np.concatenate([[0], np.cumsum(lengths)])
-        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offs), pa.py_buffer(data[on])]).cast(pa.large_string()).cast(pa.string())
+        text = strings(offs, data[on])
         total = np.concatenate([[0], np.cumsum(removed)])
         return pa.table({"doc_id": table.column("id"), "n_words": pa.array(np.diff(rows), pa.int64()), "n_removed": pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()), "kept": text})
 

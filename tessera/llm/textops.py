@@ -6,10 +6,9 @@ Nulls count as empty texts. Nothing here looks at a prefix only: texts may be of
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 
@@ -20,12 +19,8 @@ SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM_WORDS = np.ones(256, bool)
 for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
     ALNUM_WORDS[_lo : _hi + 1] = False
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
-_BYTE_HASH = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _STEP = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,30 +52,47 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - base
 
 
+def _lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return raw | (raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+
+
+def _inside(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word."""
+    if table is SPACE_WORDS:
+        return (data != 32) & (data - np.uint8(9) >= 5)
+    if table is ALNUM_WORDS:
+        return (data >= 128) | (data - np.uint8(48) < 10) | ((data | np.uint8(32)) - np.uint8(97) < 26)
+    return table[data]
+
+
 class Words:
     """The words of a column: start and end byte of each, its hash, and the range of words of each row."""
 
     def __init__(self, column, table: np.ndarray, lower: bool = False, hashes: bool = True):
         raw, self.offsets = column_bytes(column)
-        self.bytes = LOWER[raw] if lower else raw
+        self.bytes = _lowered(raw) if lower else raw
         self._find(table)
         self.rows = np.searchsorted(self.start, self.offsets)
         self.hash = word_hashes(self.bytes, self.start, self.end) if hashes else None
 
     def _find(self, table: np.ndarray) -> None:
-        inside = table[self.bytes]
+        inside = _inside(self.bytes, table)
         n = len(inside)
         if not n:
             self.start = self.end = np.zeros(0, np.int64)
             return
-        edge = np.zeros(n + 1, bool)
-        edge[self.offsets] = True
-        before = np.empty(n, bool)
-        before[0], before[1:] = False, inside[:-1]
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        after = np.empty(n, bool)
-        after[-1], after[:-1] = False, inside[1:]
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # a word starts or ends
+        cut = np.unique(self.offsets[1:-1])
+        cut = cut[(cut > 0) & (cut < n)]
+        cut = cut[inside[cut - 1] & inside[cut]]  # a row ends within a stretch of words
+        if len(cut):
+            turns = np.insert(turns, np.repeat(np.searchsorted(turns, cut), 2), np.repeat(cut, 2))
+        if inside[0]:
+            turns = np.concatenate([[0], turns])
+        if inside[-1]:
+            turns = np.append(turns, n)
+        self.start, self.end = turns[::2], turns[1::2]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
@@ -93,27 +105,33 @@ class Words:
         return self.bytes[self.start[first] : self.end[last]].tobytes()
 
 
-@functools.lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the step and of its inverse, modulo 2**64."""
-    power = lambda x: np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, x, U64)]))
-    return power(U64(_STEP)), power(U64(pow(_STEP, -1, 2**64)))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial from sums of prefixes; in chunks, so that memory stays bounded."""
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        power, inverse = _powers(max(_CHUNK, hi - lo))
-        sums = np.zeros(hi - lo + 1, U64)
-        np.multiply(_BYTE_HASH[data[lo:hi]], power[: hi - lo], out=sums[1:])
-        np.cumsum(sums, out=sums)
-        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
-        i = j
+    """A 64-bit hash of each byte range, eight bytes at a time."""
+    size = end - start
+    out = size.astype(U64) * U64(_STEP)
+    if not len(out):
+        return out
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)], padded[len(data) :] = data, 0
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    on, at, left = slice(None), start, size
+    for _ in range(_LONG // 8):
+        out[on] = mix((out[on] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) * U64(_STEP) + U64(1))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        on = more if isinstance(on, slice) else on[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        piece = np.zeros(-(-int(size[i]) // 8) * 8, np.uint8)
+        piece[: size[i]] = data[start[i] : end[i]]
+        value = piece.view("<u8") + np.arange(len(piece) // 8, dtype=U64) * U64(_STEP)
+        out[i] = mix(np.array([mix(value).sum(dtype=U64) + U64(size[i])]))[0]
     return out
 
 
@@ -144,8 +162,24 @@ def window_starts(rows: np.ndarray, k: int) -> np.ndarray:
     return np.arange(total) + np.repeat(rows[:-1] - before, n)
 
 
-def sliced(batches, rows: int):
-    """Record batches of at most so many rows."""
+def sliced(batches, rows: int, size: int = 1 << 23, column: int | None = None):
+    """Record batches of at most so many rows and about so many bytes (of one column, where it is named), or one row."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        watched = batch.columns if column is None else [batch.column(column)]
+        ends = sum((_row_ends(c) for c in watched), np.zeros(batch.num_rows, np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def _row_ends(column) -> np.ndarray:
+    """Bytes of strings, binaries and lists up to the end of each row; nothing for other kinds."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    if pa.types.is_list(kind):
+        return np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64) * 8)
+    return np.zeros(len(column), np.int64)
