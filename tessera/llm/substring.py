@@ -1,8 +1,8 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-A text is factored greedily against reference blocks: a factor is the longest stretch that also starts elsewhere in the
-block. Factors of at least `window` words are duplicate spans; at the boundary of two factors the windows that straddle it are looked up
-in the block's index too. Every word that a repeated window covers is removed.
+Stretches of text are factored greedily against reference blocks: a factor is the longest run of words that also starts elsewhere in the
+block. Factors of at least `window` words are duplicate spans, and only the windows over the end of a factor are looked up
+in the block's index besides. Every word that a repeated window covers is removed.
 
 A block need not hold the whole corpus. Of each window's short word sequences the one with the least hash is its anchor; equal
 windows have equal anchors, so the block of an anchor's hash meets all occurrences of its windows. Step one asks which
@@ -11,7 +11,7 @@ blocks parse and send back a bit for each window. Windows of very frequent ancho
 their own hash, so a passage that a large share of the texts hold is spread over blocks, and each shard sends one copy.
 
 Nulls have no words, texts shorter than a window lose nothing. Repeated rows are repeated texts. Windows are judged on the
-input, not on what is left.
+input, not on what is left. Other columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,11 +69,11 @@ def _stretch(first: np.ndarray, last: np.ndarray, more: np.ndarray) -> np.ndarra
 
 
 class ReferenceBlock:
-    """An index of distinct stretches of words: the suffixes in order, and for each place its longest match elsewhere."""
+    """An index of the stretches of words of a block: their suffixes in order, and matches looked up in it."""
 
     def __init__(self, symbols: np.ndarray, first: np.ndarray, window: int):
         """symbols: of all stretches, one after the other; first: where each begins, and the end."""
-        self.first, self.window = first, window
+        self.first, self.window, self.n = first, window, len(symbols)
         n, m = len(symbols), len(first) - 1
         text = np.empty(n + m, np.int64)
         self.place = np.arange(n) + np.repeat(np.arange(m), np.diff(first))
@@ -81,31 +81,42 @@ class ReferenceBlock:
         gap[self.place] = False
         text[gap] = np.arange(m)  # every end is a symbol of its own
         text[self.place] = symbols + m
-        ranks, width = [np.unique(text, return_inverse=True)[1]], 1
-        while width < window:
+        # ranks of the sequences of 1, 2, 4, ... words from each place, up to the longest stretch
+        self.ranks, width = [np.unique(text, return_inverse=True)[1]], 1
+        while width < int(np.diff(first).max(initial=1)):
             second = np.zeros(n + m, np.int64)
-            second[:-width] = ranks[-1][width:] + 1
-            ranks.append(np.unique(ranks[-1] * (n + m + 2) + second, return_inverse=True)[1])
+            second[:-width] = self.ranks[-1][width:] + 1
+            self.ranks.append(np.unique(self.ranks[-1] * (n + m + 2) + second, return_inverse=True)[1])
             width *= 2
-        order = np.argsort(ranks[-1], kind="stable")
-        a, b = order[:-1], order[1:]
-        common = np.zeros(len(a), np.int64)
-        for level in range(len(ranks) - 1, -1, -1):
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+        self.rank = np.empty(n + m, np.int64)
+        self.rank[self.order] = np.arange(n + m)
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of equal symbols from places a and b on."""
+        common, size = np.zeros(len(a), np.int64), len(self.rank)
+        for level in range(len(self.ranks) - 1, -1, -1):
             x, y = a + common, b + common
-            same = (x < n + m) & (y < n + m)
-            same[same] = ranks[level][x[same]] == ranks[level][y[same]]
+            same = (x < size) & (y < size)
+            same[same] = self.ranks[level][x[same]] == self.ranks[level][y[same]]
             common[same] += 1 << level
-        longest = np.zeros(n + m, np.int64)
-        longest[b] = common
-        longest[a] = np.maximum(longest[a], common)
-        self.longest = np.minimum(longest[self.place], np.repeat(first[1:], np.diff(first)) - np.arange(n))
+        return common
+
+    def match(self, at: np.ndarray) -> np.ndarray:
+        """The longest stretch from each word on that also starts elsewhere in the block: next to it in the order of suffixes."""
+        place = self.place[at]
+        rank, longest = self.rank[place], np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            on = np.flatnonzero((rank + step >= 0) & (rank + step < len(self.order)))
+            longest[on] = np.maximum(longest[on], self._common(place[on], self.order[rank[on] + step]))
+        return longest
 
     def parse(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of the greedy factors of all stretches."""
+        """Start and length of the greedy factors of all stretches; a word that is nowhere else is a factor of one."""
         at, end = self.first[:-1].copy(), self.first[1:]
         starts, lengths = [], []
         while len(at):
-            length = np.maximum(self.longest[at], 1)
+            length = np.maximum(self.match(at), 1)
             starts.append(at)
             lengths.append(length)
             at = at + length
@@ -114,14 +125,28 @@ class ReferenceBlock:
         return (np.concatenate(starts), np.concatenate(lengths)) if starts else (np.zeros(0, np.int64),) * 2
 
     def repeated(self) -> np.ndarray:
-        """Whether the window that starts at each place occurs elsewhere in the block."""
+        """Whether the window that starts at each word occurs elsewhere in the block.
+
+        Windows inside a factor do. No other window is looked up but those over a factor's end: they start less than a window before it.
+        """
         start, length = self.parse()
-        edge = np.zeros(len(self.longest) + 1, np.int64)
-        long = length >= self.window  # windows inside a long factor
-        edge[start[long]] += 1
-        edge[start[long] + length[long] - self.window + 1] -= 1
-        inside = np.cumsum(edge[:-1]) > 0
-        return inside | (self.longest >= self.window)  # and those over a boundary, by the index
+        inside = self._spread(start, length - self.window + 1)
+        end = start + length
+        begin = np.repeat(self.first[:-1], np.diff(self.first))[start]  # of each factor's stretch
+        low = np.maximum(end - self.window + 1, begin)
+        over = self._spread(low, end - low)
+        fits = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(self.n) >= self.window
+        asked = np.flatnonzero(over & fits & ~inside)
+        inside[asked] = self.match(asked) >= self.window
+        return inside
+
+    def _spread(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Marks so many words from each start on; none if not positive."""
+        on = length > 0
+        edge = np.zeros(self.n + 1, np.int64)
+        np.add.at(edge, start[on], 1)
+        np.add.at(edge, (start + length)[on], -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def mark(documents: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
