@@ -1,23 +1,33 @@
 """Approximate nearest neighbours by a robust-pruned directed graph per shard.
 
-Vectors are dealt into shards by a hash of their id. In a shard, greedy searches from its medoid propose neighbours
-for each vector, and relaxed pruning keeps a neighbour only if no kept one is much nearer to it, so that edges stay diverse.
-A beam search over each shard's graph answers every query; the nearest of all shards are kept, by exact cosines.
+Vectors are dealt into shards by their hash. In a shard, greedy searches from its medoid propose neighbours
+for each vector, and relaxed pruning keeps a neighbour only if no kept one is much nearer to it, so that edges stay diverse; nodes
+that no path from the medoid reaches get a bridge. Graphs are written once. A beam search over each shard's graph answers every query; queries
+come in blocks, and the blocks of a shard are dealt to several tasks, so that neither graphs nor queries are ever all in one place. The
+nearest of all shards are kept, by exact cosines.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Equal vectors are
 one node of a graph: only the k + 1 smallest ids of each can ever be among k nearest, by the order of ties. Vectors of
-unlike length are never compared. Repeated rows count once.
+unlike length are never compared. Repeated rows count once. Other columns take no part, whatever their names; an empty table, or one
+without queries, gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.exchange import dealt_to, even_ids
+from tessera.llm.store import written
+
 #: Vectors of a shard, about; edges of a node; width of the beam; slack of pruning.
 SHARD, DEGREE, BEAM, SLACK = 8192, 24, 80, 1.2
+#: Queries of a block, and blocks that one task searches in a shard.
+BLOCK, BLOCKS = 4096, 32
 
 
 class Graph:
@@ -31,6 +41,26 @@ class Graph:
         self.edges = rng.integers(0, max(n, 1), (n, degree)).astype(np.int32)
         for a in (1.0, slack):
             self._improve(rng.permutation(n), a)
+        self._bridge()
+
+    def _bridge(self) -> None:
+        """One more edge a node: from reached nodes to those that no path from the entry reaches, one after the other."""
+        n = len(self.x)
+        reached, bridge, last = np.zeros(n, bool), np.arange(n, dtype=np.int32), self.entry
+
+        def reach(front):
+            while len(front):
+                reached[front] = True
+                front = np.unique(self.edges[front])
+                front = front[~reached[front]]
+
+        if n:
+            reach(np.array([self.entry]))
+        for node in np.flatnonzero(~reached).tolist():
+            if not reached[node]:
+                bridge[last] = last = node
+                reach(np.array([node]))
+        self.edges = np.concatenate([self.edges, bridge[:, None]], 1)
 
     def _improve(self, order: np.ndarray, slack: float) -> None:
         i, step = 0, 32
@@ -98,7 +128,7 @@ class Graph:
             s[known] = -np.inf
             every, scores = np.concatenate([ids[on], new], 1), np.concatenate([sims[on], s], 1)
             flags = np.concatenate([done[on], known], 1)
-            order = np.argsort(-scores, 1, kind="stable")[:, : beam + self.degree]
+            order = np.argsort(-scores, 1, kind="stable")[:, : beam + self.edges.shape[1]]
             every, scores, flags = (np.take_along_axis(v, order, 1) for v in (every, scores, flags))
             twin = np.zeros_like(flags)
             twin[:, 1:] = (every[:, 1:] == every[:, :-1]) & np.isfinite(scores[:, 1:])
@@ -112,35 +142,51 @@ class Graph:
         return np.where(ids == n, self.entry, ids), sims
 
 
-def answer(ids: list[np.ndarray], vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, cosine) of the k nearest of a shard to each query; ids: the ids of each distinct vector."""
-    norm, qnorm = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
-    unit, qunit = (vectors / norm[:, None]).astype(np.float32), (queries / qnorm[:, None]).astype(np.float32)
-    if len(unit) <= 4 * beam:
-        near = np.repeat(np.arange(len(unit))[None], len(queries), 0)
-        valid = np.ones(near.shape, bool)
-    else:
-        graph = Graph(unit)
-        parts = [graph.search(qunit[i : i + 512], beam) for i in range(0, len(qunit), 512)]
-        near, sims = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        valid = np.isfinite(sims)
-    out: list[list] = [[], [], []]
-    width = max(map(len, ids), default=0)
-    names = np.full((len(ids), width), -1, np.int64)
-    has = np.zeros((len(ids), width), bool)
-    for row, own, h in zip(names, ids, has, strict=True):
-        row[: len(own)], h[: len(own)] = own, True
-    for i in range(len(queries)):
-        node = near[i][valid[i]]
-        cosine = (vectors[node] * queries[i]).sum(1) / (norm[node] * qnorm[i])
-        who, ok = names[node], has[node] & (names[node] != query_ids[i])
-        score = np.repeat(cosine[:, None], width, 1)[ok]
-        who = who[ok]
-        top = np.lexsort((who, -score))[:k]
-        out[0].append(np.full(len(top), query_ids[i]))
-        out[1].append(who[top])
-        out[2].append(score[top])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+class Shard:
+    """The vectors of one length in a shard, their graph, and the ids of each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        _, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        group = group.ravel()
+        by = np.argsort(group, kind="stable")
+        count = np.bincount(group, minlength=len(first))
+        self.names = np.full((len(first), int(count.max(initial=0))), -1, np.int64)  # rising ids of each vector
+        self.has = np.arange(self.names.shape[1]) < count[:, None]
+        self.names[self.has] = ids[by]
+        self.vectors = vectors[first]
+        self.norm = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.graph = Graph((self.vectors / self.norm[:, None]).astype(np.float32))
+
+    def answer(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, cosine) of the k nearest to each query."""
+        qnorm = np.sqrt((queries * queries).sum(1))
+        unit = (queries / qnorm[:, None]).astype(np.float32)
+        out: list[list] = [[], [], []]
+        for j in range(0, len(queries), 512):
+            near, sims = self.graph.search(unit[j : j + 512], beam)
+            for i, nodes, valid in zip(range(j, j + len(near)), near, np.isfinite(sims), strict=True):
+                node = nodes[valid]
+                cosine = (self.vectors[node] * queries[i]).sum(1) / (self.norm[node] * qnorm[i])
+                who, ok = self.names[node], self.has[node] & (self.names[node] != query_ids[i])
+                score = np.repeat(cosine[:, None], who.shape[1], 1)[ok]
+                who = who[ok]
+                top = np.lexsort((who, -score))[:k]
+                out[0].append(np.full(len(top), query_ids[i]))
+                out[1].append(who[top])
+                out[2].append(score[top])
+        return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+
+
+def _matrices(table: pa.Table):
+    """(length, ids, matrix) of the vectors of each length."""
+    length = table.column("_d").to_numpy()
+    for d in np.unique(length).tolist():
+        some = table.filter(pa.array(length == d))
+        v = some.column("_v").combine_chunks()
+        v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+        yield d, some.column("_id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, d)
 
 
 def usable(vector: str) -> Column:
@@ -153,33 +199,44 @@ def usable(vector: str) -> Column:
 def nearest(df: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows to each row that is a query, itself left out.
 
-    Queries go to every shard as they are asked for; each shard sends back k rows a query.
+    Queries go to every shard as they are asked for, in blocks; each shard sends back k rows a query.
     """
     rows = df.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"), is_query.alias("_q")).dropDuplicates(["_id", "_v"])
-    shards = max(1, -(-rows.count() // shard))
+    counted = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("_q"), 1)).alias("q")).first()
+    shards, blocks = max(1, -(-counted["n"] // shard)), max(1, -(-counted["q"] // BLOCK))
+    tasks = -(-blocks // BLOCKS)  # of a shard
     # a partial limit runs before the shuffle, so a vector that many rows share is cut down where it is read
     few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy("_id"))).where(F.col("_n") <= k + 1)
-    few = few.select("_id", "_v", F.size("_v").alias("_d"), F.pmod(F.xxhash64("_v"), F.lit(shards)).cast("int").alias("_s"))
-    asked = rows.where(F.coalesce("_q", F.lit(False))).select("_id", "_v", F.size("_v").alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    few = few.select("_id", "_v", F.size("_v").alias("_d"), dealt_to(F.pmod(F.xxhash64("_v"), F.lit(shards)).cast("int"), shards).alias("_s")).repartition(shards, "_s")
+    number = {x: i for i, x in enumerate(even_ids(shards))}
+
+    def build(table: pa.Table) -> pa.Table:
+        found = {d: Shard(ids, vectors) for d, ids, vectors in _matrices(table)}
+        return pa.table({"_s": pa.array([number[table.column("_s")[0].as_py()]], pa.int32()), "graph": pa.array([pickle.dumps(found, 5)], pa.binary())})
+
+    def block(table: pa.Table) -> pa.Table:
+        return pa.table({"_b": pa.array([table.column("_b")[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps({d: (ids, v) for d, ids, v in _matrices(table)}, 5)], pa.binary())})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(t):
-            v = t.column("_v").combine_chunks()
-            v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-            return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
-
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(left.column("_id").to_numpy(), kind="stable")
-        ids, v = left.column("_id").to_numpy()[order], matrix(left)[order]
-        _, first, group = np.unique(v, axis=0, return_index=True, return_inverse=True)
-        group = group.ravel()
-        by = np.argsort(group, kind="stable")
-        own = np.split(ids[by], np.cumsum(np.bincount(group))[:-1])
-        q, i, s = answer(own, v[first], right.column("_id").to_numpy(), matrix(right), k, beam)
+        out: list[tuple] = [(np.zeros(0), np.zeros(0), np.zeros(0))]
+        if left.num_rows:
+            found = pickle.loads(left.column("graph")[0].as_py())
+            for queries in right.column("queries"):
+                for d, (ids, v) in pickle.loads(queries.as_py()).items():
+                    if d in found:
+                        out.append(found[d].answer(ids, v, k, beam))
+        q, i, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(i.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
 
-    found = few.groupBy("_d", "_s").cogroup(asked.groupBy("_d", "_s")).applyInArrow(run, "query_id long, vec_id long, score double")
+    graphs = written(few.groupBy("_s").applyInArrow(build, "_s int, graph binary"))
+    asked = rows.where(F.coalesce("_q", F.lit(False))).select("_id", "_v", F.size("_v").alias("_d"), F.pmod(F.xxhash64("_id", "_v"), F.lit(blocks)).cast("int").alias("_b"))
+    asked = written(asked.groupBy("_b").applyInArrow(block, "_b int, queries binary"))
+    # task t of shard s searches the blocks that leave t when divided by the number of tasks
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = graphs.withColumn("_t", every(tasks)).select(dealt_to(F.col("_s") * tasks + F.col("_t"), shards * tasks).alias("_k"), "graph")
+    asked = asked.withColumn("_s", every(shards)).select(dealt_to(F.col("_s") * tasks + F.col("_b") % tasks, shards * tasks).alias("_k"), "queries")
+    dealt = lambda rows: rows.repartition(shards * tasks, "_k").groupBy("_k")
+    found = dealt(graphs).cogroup(dealt(asked)).applyInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

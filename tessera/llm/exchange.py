@@ -80,6 +80,11 @@ def even_ids(n: int) -> tuple[int, ...]:
     return tuple(found[i] for i in range(n))
 
 
+def dealt_to(place: Column, n: int) -> Column:
+    """The id of partition `place` (0..n-1): repartition(n, ids) deals each place to a partition of its own."""
+    return F.element_at(F.expr(f"array({','.join(map(str, even_ids(n)))})"), place + 1)
+
+
 class Exchange:
     """The shards of a table; key: the id, text: the text; both may be null. rest: other columns that travel along, as a struct."""
 
@@ -89,11 +94,10 @@ class Exchange:
         rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *more)
         self.n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-_plan_bytes(rows) // SHARD_BYTES)))
         self.ids = even_ids(self.n)
-        ids = F.array(*map(F.lit, self.ids))
         self.rest = rows.schema["rest"].dataType if rest else None
         self.schema = _large(to_arrow_schema(rows.schema))
         place: Column = F.pmod(F.xxhash64("id", "text"), F.lit(self.n)).cast("int")
-        self.rows = rows.withColumn("_shard", F.element_at(ids, place + 1)).mapInArrow(_blobs, "_shard int, blob binary").repartition(self.n, "_shard")
+        self.rows = rows.withColumn("_shard", dealt_to(place, self.n)).mapInArrow(_blobs, "_shard int, blob binary").repartition(self.n, "_shard")
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "rows"}  # executors need the numbers only
