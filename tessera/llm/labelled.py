@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,16 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def sample(documents: DataFrame, labels: DataFrame, target: str, *, folds: int, held_out: int, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of at most most[label] labelled documents of each label outside the held-out fold.
+#: Bytes of text of each label that a sample holds at most; a text of more than a sixteenth of these is not fitted.
+BYTES = 1 << 26
+
+
+def sample(documents: DataFrame, labels: DataFrame, target: str, *, folds: int, held_out: int, most: dict[int, int], size: int = BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most most[label] labelled documents of each label outside the held-out fold, and of at most `size` bytes.
 
     The choice goes by a hash of the id, not by place. Ids without label, null ids and null labels never enter;
     conflicting labels of one id count as the smaller. The chosen ids are at most sum(most.values()), so they are
-    broadcast; documents are read once and not shuffled.
+    broadcast; documents are read once, and only the chosen ones are shuffled. Rows that repeat an id all count.
     """
     rows = labels.select("doc_id", F.col(target).alias("_label")).where(F.col("doc_id").isNotNull() & F.col("_label").isNotNull() & (fold("doc_id", folds) != held_out))
     rows = rows.groupBy("doc_id").agg(F.min("_label").alias("_label"))
@@ -24,4 +28,7 @@ def sample(documents: DataFrame, labels: DataFrame, target: str, *, folds: int,
     for label, n in most.items():
         part = rows.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_label").cast("int").alias("label"))
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).where(F.col("_n") <= size // 16)
+    # a running sum over the bounded sample; it spills to disk
+    found = found.withColumn("_sum", F.sum("_n").over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
+    return found.where(F.col("_sum") <= size).select("doc_id", "text", F.col("_label").cast("int").alias("label"))

@@ -6,7 +6,8 @@ marginals, calibrated on the training rows, is its score. Labels exist per docum
 between fitting the field and relabelling the lines of bad documents by the field's own marginals.
 
 Null texts count as empty; an empty text is one empty line and gets a score like any other. Scores depend on the text alone:
-repeated rows get equal scores, other columns pass through untouched.
+repeated rows get equal scores, other columns pass through untouched, but for one of the output's name, which is replaced. An empty
+table gives an empty result; without labels of both kinds every score is the share of good ones among the labels, or 0.5 without any.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tessera.llm.textops import SPACE_WORDS, Words, column_bytes, sliced, word_h
 
 #: At most so many labelled documents of each label are fitted.
 SAMPLE = 3000
+#: Bytes of text whose features are in memory at once, or one text.
+PART = 1 << 21
 _CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 lower, 3 digit, 4 space, 5 sentence mark, 6 other symbol
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 2
 _CLASS[33:48], _CLASS[58:65], _CLASS[91:97], _CLASS[123:127] = 6, 6, 6, 6
@@ -161,7 +164,7 @@ def fit(x: np.ndarray, weight: np.ndarray, rows: np.ndarray, labels: np.ndarray,
     d = x.shape[1]
     mean, scale = x.mean(0) if len(x) else np.zeros(d), np.maximum(x.std(0), 0.05) if len(x) else np.ones(d)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         odds = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return Field(mean, scale, np.zeros(d), 0.0, np.zeros((2, 2)), (odds, 0.0, 0.0))
     z = (x - mean) / scale
@@ -201,7 +204,7 @@ def train(documents: DataFrame, labels: DataFrame, *, target: str = "quality", f
     rows = labelled.sample(documents, labels, target, folds=folds, held_out=held_out, most={0: sample, 1: sample})
 
     def features(batches):
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 256, PART, 0):
             x, weight, first = line_features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), batch.column(1)], ["x", "weight", "label"])
 
@@ -222,7 +225,7 @@ def score(df: DataFrame, field: Field, text: str = "text", output: str = "score"
     at = names.index(text)
 
     def run(batches):
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches, 512, PART, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(field.documents(*line_features(batch.column(at))), pa.float64())], [*names, output])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(output, T.DoubleType())]))
