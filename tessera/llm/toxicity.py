@@ -1,10 +1,13 @@
 """Toxicity by a classifier with a counterfactual penalty.
 
 A document is the set of its lower-cased words and word beginnings (hashed). A logistic model is fitted to labelled
-documents; for every labelled sentence that mentions an identity term, the term is swapped for the others of its
-kind, and the squared change of the score is penalised, so that a neutral mention of a group does not move a score.
+documents; for every sentence of these that mentions an identity term, the term is swapped for the others of its
+kind, and the squared change of the score is penalised, so that a neutral mention of a group does not move a score. A model knows
+how many such pairs it was fitted to; labelled texts that name no group give none, and then the penalty has no effect.
 
-Null texts count as empty. Scores depend on the text alone; repeated rows get equal scores.
+Null texts count as empty. Scores depend on the text alone; repeated rows get equal scores. Other columns pass through, but for one
+of the output's name, which is replaced. An empty table gives an empty result; without labels of both kinds every score is the share of toxic
+ones among the labels (within 0.001 and 0.999).
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ IDENTITY_TERMS = (
 )
 #: At most so many labelled documents of each label are fitted (toxic ones are rarer).
 SAMPLE = {1: 3000, 0: 6000}
-#: Numbers of hash slots for features, and of features that get a weight.
+#: Numbers of hash slots for features, and of features that get a weight: those that tell the labels apart best.
 SLOTS, CHOSEN = 1 << 18, 6000
+#: Pairs of sentences that are fitted at most (a choice by hash), and features of each side.
+PAIRS, PAIR_FEATURES = 20_000, 4096
+#: Bytes of text whose features are in memory at once, or one text.
+PART = 1 << 21
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 _END = re.compile(r"(?<=[.!?\n])\s+")
@@ -62,6 +69,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray  # of each slot
     bias: float
+    pairs: int = 0  # counterfactual pairs that it was fitted to
 
     def score(self, column) -> np.ndarray:
         row, slot = features(column)
@@ -84,11 +92,25 @@ def counterfactuals(texts: list[str], groups=IDENTITY_TERMS) -> list[tuple[str,
     return list(out)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]], *, penalty: float = 1.0, l2: float = 5e-5, steps: int = 500) -> Model:
-    """rows: the slots of each document. Without labels of both kinds every score is the share of the label."""
+def pair_slots(pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The slots of both sides of each pair."""
+    sides = []
+    for side in (0, 1):
+        row, slot = features(pa.array([p[side] for p in pairs], pa.string()))
+        cut = np.searchsorted(row, np.arange(len(pairs) + 1))
+        sides.append([slot[x:y].astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+    return list(zip(*sides, strict=True))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, penalty: float = 20.0, l2: float = 5e-5, steps: int = 500) -> Model:
+    """rows: the slots of each document; pairs: of both sides of each counterfactual pair.
+
+    The loss is the balanced log loss, plus penalty times the mean squared difference of the scores of pairs.
+    Without labels of both kinds every score is the share of the label.
+    """
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
-        return Model(np.zeros(SLOTS), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
+        return Model(np.zeros(SLOTS), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))), len(pairs))
     n = np.array([len(r) for r in rows])
     slot = np.concatenate(rows)
     bad = np.repeat(labels == 1, n)
@@ -103,12 +125,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]]
     column[top] = np.arange(len(top))
     keep = column[slot] >= 0
     r, c = np.repeat(np.arange(len(rows)), n)[keep], column[slot[keep]]
-    pr, pc, pv = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    if pairs:
-        for side, sign in ((0, 1.0), (1, -1.0)):
-            i, s = features(pa.array([p[side] for p in pairs]))
-            ok = column[s] >= 0
-            pr, pc, pv = np.concatenate([pr, i[ok]]), np.concatenate([pc, column[s[ok]]]), np.concatenate([pv, np.full(ok.sum(), sign)])
+    sides = []
+    for side in (0, 1) if pairs else ():
+        i, k = np.repeat(np.arange(len(pairs)), [len(p[side]) for p in pairs]), column[np.concatenate([p[side] for p in pairs])]
+        sides.append((i[k >= 0], k[k >= 0]))
     w, bias = np.zeros(len(top)), 0.0
     m, v = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
     weight = np.where(labels == 1, 0.5 / na, 0.5 / nb)
@@ -116,35 +136,50 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]]
         s = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], len(rows)) + bias, -40, 40)))
         err = (s - labels) * weight
         g = np.bincount(c, err[r], len(top)) + l2 * w
+        slope = err.sum()
         if pairs:
-            change = np.bincount(pr, pv * w[pc], len(pairs)) / len(pairs)
-            g += 2 * penalty * np.bincount(pc, pv * change[pr], len(top))
-        g = np.append(g, err.sum())
+            scores = [1 / (1 + np.exp(-np.clip(np.bincount(i, w[k], len(pairs)) + bias, -40, 40))) for i, k in sides]
+            change = 2 * penalty * (scores[0] - scores[1]) / len(pairs)
+            for (i, k), p, sign in zip(sides, scores, (1.0, -1.0), strict=True):
+                pull = sign * change * p * (1 - p)
+                g += np.bincount(k, pull[i], len(top))
+                slope += pull.sum()
+        g = np.append(g, slope)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
         w, bias = w - step[:-1], bias - step[-1]
     full = np.zeros(SLOTS)
     full[top] = w
-    return Model(full, float(bias))
+    return Model(full, float(bias), len(pairs))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, target: str = "toxic", folds: int = 3, held_out: int = 1, most: dict[int, int] = SAMPLE, groups=IDENTITY_TERMS) -> Model:
-    """Fits a model to at most most[label] documents of each label outside the held-out fold."""
+    """Fits a model to at most most[label] documents of each label outside the held-out fold, and at most PAIRS pairs of their sentences.
+
+    Sentences of more than PAIR_FEATURES features are not paired; what comes to the driver are slots, so its size is bounded.
+    """
     rows = labelled.sample(documents, labels, target, folds=folds, held_out=held_out, most=most)
     seen = [t for g in groups for t in g]
 
     def slots(batches):
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 256, PART, 0):
             row, slot = features(batch.column(0))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             own = [slot[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            swapped = [[s for pair in counterfactuals([t], groups) for s in pair] if t and any(w in t.lower() for w in seen) else [] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(swapped, pa.list_(pa.string())), batch.column(1)], ["x", "pairs", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], ["x", "label"])
+
+    def swaps(batches):
+        for batch in sliced(batches, 256, PART, 0):
+            texts = [t for t in batch.column(0).to_pylist() if t and any(w in t.lower() for w in seen)]
+            both = [p for p in pair_slots(counterfactuals(texts, groups)) if max(map(len, p)) <= PAIR_FEATURES]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k].tobytes() for p in both], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    got = rows.select("text", "label").mapInArrow(slots, "x binary, pairs array<string>, label int").toArrow()
+    got = rows.select("text", "label").mapInArrow(slots, "x binary, label int").toArrow()
     x, y = got.column("x").to_pylist(), got.column("label").to_pylist()
     order = sorted(range(len(x)), key=lambda i: (y[i], x[i]))
-    pairs = sorted({(p[i], p[i + 1]) for p in got.column("pairs").to_pylist() for i in range(0, len(p), 2)})
+    # an equal choice in every run
+    found = rows.select("text").mapInArrow(swaps, "a binary, b binary").distinct().orderBy(F.xxhash64("a", "b"), "a", "b").limit(PAIRS).toArrow()
+    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)]
     return fit([np.frombuffer(x[i], np.int32) for i in order], np.array([y[i] for i in order], int), pairs)
 
 
@@ -156,7 +191,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "score"
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches, 512, PART, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at)), pa.float64())], [*names, output])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(output, T.DoubleType())]))
