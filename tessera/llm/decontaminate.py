@@ -3,15 +3,18 @@
 Benchmark windows are searched backward in the Burrows-Wheeler transform of a shard through wavelet-matrix ranks, all
 windows at once; occurrences are located by walking to sampled suffix positions, and the spans they cover are merged.
 
-Before a shard is indexed, words that no window holds, and neighbours that no window holds side by side, cut the text
-into runs; runs shorter than the shortest window cannot hold one and are left out. This loses nothing.
+A filter stands before the index: words that no window holds, and neighbours that no window holds side by side, cut the text
+into runs; runs shorter than the shortest window cannot hold one and are not indexed. This loses nothing, and where little text is
+like the benchmark, the index is small.
 
 Null texts have no words. Items without words have no window; a null item id is never listed, though its windows count
-as hits. Repeated documents each get their row; repeated items count once. Other columns pass through.
+as hits. Ids of any type are listed as strings. Repeated documents each get their row; repeated items count once. Other columns pass through, but for those
+named as the results, which are replaced. Empty documents give an empty result; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.store import written
 from tessera.llm.textops import ALNUM_WORDS, Words, sliced
 
 WINDOW = 13
 #: Benchmark items of one pass over the documents; more items mean more passes, each with a broadcast of this bound.
 BLOCK = 50_000
+#: Bytes of text that are searched at once (a shard of the index), or one text.
+PART = 1 << 23
 _EVERY = 8  # suffix samples
 
 
@@ -205,18 +211,18 @@ def hits(column, phrases: Phrases) -> tuple[Words, np.ndarray, list[list]]:
     return words, hit, [sorted(set(x)) for x in items]
 
 
-_RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.LongType()))])
+_RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _pass(kept: DataFrame, text: str, phrases: Phrases) -> DataFrame:
-    names = kept.columns
-    at = names.index(text)
-    shared = kept.sparkSession.sparkContext.broadcast(phrases)
+def _pass(kept: DataFrame, text: str, phrases, names: tuple[str, str, str]) -> DataFrame:
+    """Adds the number of words, spans and items under the names given; phrases: a broadcast."""
+    own = kept.columns
+    at = own.index(text)
     struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        for batch in sliced(batches, 2048):
-            words, hit, items = hits(batch.column(at), shared.value)
+        for batch in sliced(batches, 2048, PART, at):
+            words, hit, items = hits(batch.column(at), phrases.value)
             n = len(hit)
             begins = hit.copy()
             begins[1:] &= ~hit[:-1]
@@ -227,32 +233,47 @@ def _pass(kept: DataFrame, text: str, phrases: Phrases) -> DataFrame:
             cut = np.searchsorted(a, words.rows)
             local = np.repeat(words.rows[:-1], np.diff(cut))
             spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(a - local), pa.array(b - local)], fields=list(struct)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts(), pa.int64()), spans, pa.array(items, pa.list_(pa.int64()))], [*names, *_RESULT.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts(), pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], [*own, *names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *_RESULT.fields]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(name, f.dataType) for name, f in zip(names, _RESULT.fields, strict=True))]))
 
 
-def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Adds n_words, spans (merged word ranges [start, end) that windows cover) and items (ids that occur) to each row.
-
-    Columns of those names are replaced. Benchmark rows are taken in blocks of `block` items (a broadcast of bounded
-    size each); with several blocks each pass reads the documents' spans of the one before, in memory of the same row.
-    """
-    kept = documents.drop(*set(documents.columns) & set(_RESULT.names))
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0).distinct()
-    blocks: list[Phrases] = []
-    ids, texts = [], []
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block: int):
+    """The phrases of one block of items after the other; of an empty benchmark one empty block."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0).distinct()
+    ids, texts, any_ = [], [], False
     for row in items.orderBy("i", "t").toLocalIterator():
+        if len(ids) == block:
+            yield Phrases.of(ids, texts, window)
+            ids, texts, any_ = [], [], True
         ids.append(row.i)
         texts.append(row.t)
-        if len(ids) == block:
-            blocks.append(Phrases.of(ids, texts, window))
-            ids, texts = [], []
-    blocks.append(Phrases.of(ids, texts, window))
-    out = _pass(kept, text, blocks[0])
-    for phrases in blocks[1:]:
-        before = out.withColumnsRenamed({"spans": "_spans", "items": "_items"}).drop("n_words")
-        out = _pass(before, text, phrases).withColumns({"spans": merged(F.concat("_spans", "spans")), "items": F.array_sort(F.array_union("_items", "items"))}).drop("_spans", "_items")
+    if ids or not any_:
+        yield Phrases.of(ids, texts, window)
+
+
+def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Adds n_words, spans (merged word ranges [start, end) that windows cover) and items (ids that occur, as strings) to each row.
+
+    Columns of those names are replaced. Benchmark rows are taken in blocks of `block` items, one on the driver at a time (and the
+    next, so that the last is known). Where there are several, the result of each pass is written to the shared folder,
+    and its broadcast is freed before the next.
+    """
+    out = documents.drop(*set(documents.columns) & set(_RESULT.names))
+    spare = next(x for x in map("found{}_".format, itertools.count()) if not any(c.startswith(x) for c in out.columns))
+    own, names, merge = out.columns, tuple(spare + x for x in _RESULT.names), False
+    blocks = _blocks(benchmark, item_id, item_text, window, block)
+    phrases = next(blocks)
+    while phrases is not None:
+        shared = documents.sparkSession.sparkContext.broadcast(phrases)
+        after = _pass(out, text, shared, names if merge else tuple(_RESULT.names))
+        if merge:
+            after = after.select(*own, "n_words", merged(F.concat("spans", names[1])).alias("spans"), F.array_sort(F.array_union("items", names[2])).alias("items"))
+        phrases = next(blocks, None)
+        if phrases is not None:
+            after = written(after)
+            shared.destroy()
+        out, merge = after, True
     return out
 
 
@@ -282,5 +303,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """op4: counts and the digest of the occurring items of each document."""
     found = judged(find(documents.select("doc_id", "text"), benchmark))
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
