@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import DATA
-from tessera.llm import ann, bpe, decontaminate, html_extract, line_dedup, lm, ngram_join, quality, substring, textops, toxicity
+from tessera.llm import ann, bpe, decontaminate, html_extract, line_dedup, lm, ngram_join, quality, setjoin, substring, textops, toxicity
 from tessera.llm.store import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +132,42 @@ def test_substrings(documents, frequent):
     assert substring.mark(documents.limit(0)).count() == 0
 
 
+def test_factors_decide_spans():
+    """The factors of a block of stretches give the repeated windows; without the long factors, or without the windows over their ends, some are lost."""
+    rng = np.random.default_rng(3)
+    lost = Counter()
+    for _ in range(200):
+        window = int(rng.integers(3, 8))
+        base = rng.integers(0, 4, 60)
+        stretches = []
+        for _ in range(int(rng.integers(2, 7))):
+            i, n = int(rng.integers(0, 40)), int(rng.integers(window, 20))
+            stretches.append(np.concatenate([base[i : i + n], rng.integers(0, 9, int(rng.integers(0, 6)))]))
+        first = np.concatenate([[0], np.cumsum([len(x) for x in stretches])])
+        block = substring.ReferenceBlock(np.concatenate(stretches), first, window)
+        seen = Counter(tuple(x[i : i + window]) for x in stretches for i in range(len(x) - window + 1))
+        expected = np.concatenate([[i + window <= len(x) and seen[tuple(x[i : i + window])] > 1 for i in range(len(x))] for x in stretches])
+        assert np.array_equal(block.repeated(), expected)
+        start, length = block.parse()
+        assert length.sum() == first[-1]
+        lost["ends"] += int(expected.sum() - block._spread(start, length - window + 1).sum())
+        block.parse = lambda s=start, n=length: (s, np.zeros_like(n))  # without factors
+        lost["factors"] += int(expected.sum() - block.repeated().sum())
+    assert lost["ends"] > 0 and lost["factors"] > 0
+
+
+def test_keys_spread_over_buckets():
+    """Least hashes, and the first elements of sets, are dealt evenly to buckets of the hash space."""
+    rng = np.random.default_rng(0)
+    vocabulary = textops.mix(np.arange(20_000, dtype=np.uint64))
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 20_000) for _ in range(300)]
+    keys = np.unique(substring.Windows(pa.table({"text": texts}), 35, 12).key)
+    values = np.unique(setjoin.mix(np.sort(vocabulary)[:2000] + setjoin._SPREAD))
+    for found in (keys, values):
+        n = np.bincount((found >> np.uint64(58)).astype(int), minlength=64)
+        assert n.max() < 2 * n.mean()
+
+
 def test_ngram_join(documents):
     rows = rows_of(documents)
     sets = []
@@ -206,14 +242,71 @@ def test_language_model(documents):
         assert any((r["held_out"], r["n_tokens"], r["n_known"]) == b[:3] and abs(r["base_score"] - b[3]) < 1e-6 * abs(b[3]) for b in base[r["doc_id"]])
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    # the score, from plain counts of one, two and three tokens
+    two, three, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            tokens = ["^", *SPACE.findall(low(t)), None]
+            starts += 1
+            two.update(zip(tokens, tokens[1:], strict=False))
+            three.update(zip(tokens, tokens[1:], tokens[2:], strict=False))
+    whole = {}
+    for i, t in rows:
+        tokens, sum_ = ["^", *SPACE.findall(low(t)), None], 0.0
+        for k in range(1, len(tokens)):
+            p = (c[tokens[k]] + 0.1) / (total + 0.1 * (distinct + 1))
+            p = (two[tokens[k - 1], tokens[k]] + lm.PRIORS[0] * p) / ((starts if k == 1 else c[tokens[k - 1]]) + lm.PRIORS[0])
+            if k > 1:
+                p = (three[tokens[k - 2], tokens[k - 1], tokens[k]] + lm.PRIORS[1] * p) / (two[tokens[k - 2], tokens[k - 1]] + lm.PRIORS[1])
+            sum_ += np.log10(p)
+        whole.setdefault(i, []).append(sum_)
+    for r in got:
+        assert any(abs(r["score"] - x) < 1e-9 * abs(x) for x in whole[r["doc_id"]])
+    assert lm.score(documents.limit(0)).count() == 0
+
+
+def test_backoff_automaton_is_normalised():
+    """The probabilities of all tokens after a state add up to one, for states of each order; an unseen word stands for what is left of the base."""
+    words = np.array([3, 1, 2, 0])  # total 6, three seen; word 3 is any unseen one, with twice its share of the mass left (0.1 of 6.4)
+    pairs = np.array([[-1, 0], [0, 1], [1, 2], [0, 0], [0, 2], [0, 3], [1, 0], [1, 1], [1, 3], [-1, 1], [-1, 2], [-1, 3]]), np.array([2, 2, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0])
+    triples = np.array([[1, 2], [1, 6], [1, 7], [1, 8], [0, 3], [0, 1], [0, 4], [0, 5]]), np.array([2, 0, 0, 0, 1, 1, 0, 0])
+    automaton = lm.BackoffAutomaton(words, 6, 3, 2, (pairs[0][:, 0], pairs[0][:, 1], pairs[1]), (triples[0][:, 0], triples[0][:, 1], triples[1]), (5.0, 2.0))
+
+    def after(history, pair_ids, triple_ids):
+        """Probabilities of the four words after a text that begins with `history`."""
+        out = []
+        for w in range(4):
+            tokens = [*history, w]
+            got = automaton.traverse(np.array([0, len(tokens)]), np.array(tokens), np.array([*pair_ids[0], pair_ids[1][w]]), np.array([*triple_ids[0], triple_ids[1][w]]))
+            out.append(10 ** got[-1])
+        return out
+
+    base = (words + 0.1) / (6 + 0.1 * 4)
+    assert np.isclose(base.sum(), 1)
+    for p in (after([0], ([0], [3, 1, 4, 5]), ([-1], [4, 5, 6, 7])), after([0, 1], ([0, 1], [6, 7, 2, 8]), ([-1, 5], [1, 2, 0, 3])), after([], ([], [0, 9, 10, 11]), ([], [-1] * 4))):
+        assert np.isclose(sum(p), 1)
 
 
-def test_language_model_is_normalised():
-    automaton = lm.BackoffAutomaton(np.array([3, 1, 0, 0]), 4, 2, 5.0)
-    # two seen words, and unseen ones: base mass of one unseen word is 0.1 of total + 0.1 (distinct + 1)
-    pair = np.array([2, 0, 0])
-    p = 10 ** automaton.traverse(np.array([0, 1, 2]), np.full(3, 2), pair)
-    assert abs(p.sum() - 1) < 1e-9
+def test_traversal_in_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = " ".join(rng.choice(["a", "b", "c", "d", "of the"], 300))
+    got = []
+    for piece in (3, 10_000):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        table = pa.table({"id": [1, 2], "text": [text, text[:40]]})
+        t = lm.Tokens(table, 10, 11)
+        _, word = np.unique(t.token, return_inverse=True)
+        _, at, pair = np.unique(t.pair, return_index=True, return_inverse=True)
+        before = np.concatenate([[-1], word[:-1]])
+        before[t.first[:-1]] = -1
+        later = np.flatnonzero(t.later)
+        _, third_at, third = np.unique(t.triples(), return_index=True, return_inverse=True)
+        triple = np.full(len(word), -1)
+        triple[later] = third
+        even = lambda n: np.arange(n) % 3  # some arcs are missing
+        automaton = lm.BackoffAutomaton(np.bincount(word), len(word), 6, 2, (before[at], word[at], even(len(at))), (pair[later[third_at] - 1], pair[later[third_at]], np.minimum(even(len(third_at)), even(len(at))[pair[later[third_at]]])), lm.PRIORS)
+        got.append(automaton.traverse(t.first, word, pair, triple))
+    assert np.array_equal(*got)
 
 
 def test_nearest_neighbours(spark):
@@ -236,6 +329,29 @@ def test_nearest_neighbours(spark):
     assert found / (5 * len(range(0, 3030, 50))) >= 0.9 and set(got.query_id) == set(range(0, 3030, 50))
     few = ann.nearest(df.where("vec_id in (0, 7)"), F.col("vec_id") == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 7)]
+    clash = df.withColumns({"_id": F.lit(1), "_v": F.lit("x"), "_s": F.lit(2), "_q": F.lit(False), "score": F.lit(0)})
+    assert sorted(map(tuple, ann.nearest(clash, F.col("vec_id") % 50 == 0, shard=1500).collect())) == sorted(map(tuple, got.itertuples(index=False)))
+    assert ann.search(df.limit(0)).count() == 0 and ann.nearest(df, F.lit(False)).count() == 0
+
+
+def test_small_graphs_reach_all():
+    """Without a comparison of all vectors, small shards still find every candidate: no node is out of reach."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 6, 30, 79):
+        x = rng.normal(size=(n, 8))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        near, sims = ann.Graph(x).search(x.astype(np.float32)[:5], 80)
+        for row, s in zip(near, sims, strict=True):
+            assert sorted(row[np.isfinite(s)]) == list(range(n))
+
+
+def test_recall_of_a_whole_shard():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(ann.SHARD, 32))
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    near, _ = ann.Graph(x).search(x[:200], ann.BEAM)
+    best = np.argsort(-(x[:200] @ x.T), 1)[:, :6]
+    assert sum(len({*a[:40]} & {*b}) for a, b in zip(near, best, strict=True)) >= 0.9 * best.size
 
 
 def _labelled(spark):
@@ -248,7 +364,15 @@ def test_quality_held_out(spark):
     extra = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (None, "a\n\nb")], "doc_id long, text string"))
     rows = quality.classified(extra, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert (rows.predicted == rows.quality).mean() > 0.95
-    assert extra.count() == quality.score(extra, quality.fit(np.zeros((0, 44)), np.zeros(0), np.zeros(1, int), np.zeros(0))).count()
+    small = extra.where("doc_id is null or doc_id < 300").withColumns({"score": F.lit("x"), "weight": F.lit(1)})
+    none = quality.classified(small, labels.limit(0)).collect()
+    assert len(none) == small.count() and {r["score"] for r in none} == {0.5}
+    assert quality.classified(small.limit(0), labels).count() == 0
+    field = quality.train(docs.where("doc_id < 2000"), labels)
+    again = {}
+    for r in quality.score(small.union(small), field).collect():
+        again.setdefault(r["text"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in again.values()) and again[None] == again[""]
 
 
 def test_forward_backward_is_exact():
@@ -282,12 +406,37 @@ def test_counterfactual_penalty():
     row, slot = toxicity.features(pa.array(texts))
     cut = np.searchsorted(row, np.arange(len(texts) + 1))
     rows = [slot[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    pairs = toxicity.counterfactuals(texts)
+    pairs = toxicity.pair_slots(toxicity.counterfactuals(texts))
     probe = pa.array(["w1 muslims w2.", "w1 christians w2.", "w1 idiot w2."])
-    plain, fair = (toxicity.fit(rows, np.array(labels), pairs, penalty=p).score(probe) for p in (0.0, 20.0))
+    plain, fair = (toxicity.fit(rows, np.array(labels), pairs, **p).score(probe) for p in ({"penalty": 0.0}, {}))
     assert abs(fair[0] - fair[1]) < 0.5 * abs(plain[0] - plain[1]) and fair[2] > 0.7
 
 
+def test_toxicity_of_texts_that_name_groups(spark):
+    """Through the query's own path, at the default penalty: neutral mentions of a group that toxic rows often name are not flagged."""
+    rng = np.random.default_rng(4)
+    fill, rows, marks = [f"w{i}" for i in range(60)], [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = list(rng.choice(fill, 12)) + (["idiot", "scum"] if toxic and rng.random() < 0.8 else []) + (["muslims"] if rng.random() < (0.8 if toxic else 0.05) else [])
+        rows.append((i, " ".join(words) + "."))
+        marks.append((i, int(toxic), 1))
+    docs = spark.createDataFrame([*rows, *[(1000 + i, " ".join(rng.choice(fill, 12)) + " muslims.") for i in range(60)], (2000, None), (2001, ""), (2002, rows[0][1]), (None, rows[0][1])], "doc_id long, text string").withColumns({"score": F.lit("x"), "label": F.lit(9), "_label": F.lit(1)})
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    neutral = {}
+    for name, groups in (("plain", ()), ("fair", toxicity.IDENTITY_TERMS)):
+        model = toxicity.train(docs, labels, groups=groups)
+        assert (model.pairs > 0) == bool(groups)
+        got = toxicity.score(docs, model).select("doc_id", "score").toPandas()
+        assert len(got) == docs.count() and got.score.notna().all() and len({*got[(got.doc_id == 2002) | got.doc_id.isna() | (got.doc_id == 0)].score}) == 1
+        neutral[name] = got[got.doc_id.between(1000, 1100)].score.mean()
+    assert neutral["fair"] < 0.75 * neutral["plain"] and neutral["fair"] < 0.5
+    out = toxicity.classified(docs, labels).toPandas()
+    assert list(out.columns) == ["doc_id", "held_out", "score", "predicted"] and not out[out.doc_id.isna()].held_out.any()
+    assert toxicity.classified(docs.limit(0), labels).count() == 0
+    assert {round(r["score"], 4) for r in toxicity.classified(docs, labels.limit(0)).collect()} == {0.001}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(20)] + [(int(a), int(b)) for a, b in rng.integers(100, 160, (40, 2))]
