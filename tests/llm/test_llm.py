@@ -83,6 +83,62 @@ def test_html_of_several_articles():
     assert html_extract.extract(f"<body>{body}</body>").split("\n") == expected
 
 
+ARTICLE = "<h1>A title</h1>" + "<p>A sentence of the article, with a point. And one more, of course.</p>" * 4
+EXPECTED = "\n".join(["A title", *["A sentence of the article, with a point. And one more, of course."] * 4])
+SIDE = '<div class="sidebar"><h3>More</h3><ul><li><a href="/x">Another story, here</a></ul></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<form id="aspnetForm"><article>{ARTICLE}</article>{SIDE}</form>',
+        f'<div class="site has-sidebar"><article>{ARTICLE}</article>{SIDE}</div>',
+        f'<div class="layout no-sidebar"><main>{ARTICLE}</main></div><footer>x</footer>',
+        f'<article><div class="story-header"><h1>A title</h1></div>{ARTICLE[16:]}</article>',
+        f'<article>{ARTICLE}</article><section id="comments"><article><p>Nice one, I like it.</p></article></section>',
+        f'<article>{ARTICLE}<section class="comments"><p>Nice one, I like it. Really, I do.</p></section></article>',
+        f'<div><div>{ARTICLE}</div><div>Short, this.</div></div>',
+        f'<div class="content">{ARTICLE}</div><form><p>Sign up now, please.</p><input></form>',
+        f'<article>{ARTICLE}</article><button>Open<p>never closed',
+        f'<article>{ARTICLE}</article><div class="x" title="unclosed>',
+        f"<article class=a<b>{ARTICLE}</article>",
+    ],
+)
+def test_html_wrappers(page):
+    text = html_extract.extract(f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav>{page}</body></html>")
+    assert text.startswith(EXPECTED) and len(text) <= len(EXPECTED) + 30
+
+
+def test_html_ratios_decide(monkeypatch):
+    """With all ratios alike, what is no text in sentences comes in."""
+    teasers = "<article class=card><h2>Other</h2><p>Some</p></article>" * 2
+    pages = [f"<body><article>{ARTICLE}</article>{teasers}</body>", f"<body><div>{ARTICLE}</div><div><div>Short, this</div></div></body>"]
+    assert [html_extract.extract(p) for p in pages] == [EXPECTED] * 2
+    monkeypatch.setattr(html_extract, "path_ratios", lambda paths, lines, linked, prior: (prior, [p > 0 for p in prior]))
+    assert all(html_extract.extract(p) != EXPECTED for p in pages)
+
+
+def test_html_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div\n" + " " * 10_000 + "class=x", "<div " * 20_000, "<a '" * 20_001, "<button>" * 20_000, "<div " + "a='" * 20_001, "<!--" * 20_000, "</" * 50_000, "<script" * 10_000, "<p><b>" * 5_000):
+        assert isinstance(html_extract.extract(page), str)
+    assert time.time() - began < 5
+    began = time.time()
+    html_extract.extract("<div\n" + " " * 10_000 + "class=x")
+    assert time.time() - began < 0.1
+
+
+def test_html_edges(spark):
+    rows = [(1, "u", None, "a"), (1, "u", None, "a"), (2, None, "<article>" + "<p>Some text, and more of it.</p>" * 60_000, "b"), (None, "v", "<p>One, two.</p>", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r["page_id"], len(r["text"]), r["n_chars"]) for r in html_extract.main_text(df).collect()}
+    assert got == {(1, 0, 0), (2, 60_000 * 27 - 1, 60_000 * 27 - 1), (None, 9, 9)}
+    assert html_extract.extract_pages(df).columns == ["page_id", "url", "html", "text"] and html_extract.main_text(df).count() == 4
+    assert html_extract.main_text(df.limit(0)).count() == 0
+
+
 def test_pages_match_their_articles(spark):
     import html
 
