@@ -29,6 +29,8 @@ from pyspark.sql.types import StructField, StructType
 _ROUTED = "_shard int, _bucket int, data binary"
 #: Bytes of rows that a task holds before it sends them as blobs.
 BUFFER = 1 << 25
+#: Bytes of a shard's text whose words are in memory at once.
+PART = 1 << 22
 #: Bytes of input of a shard, as the plan's statistics tell them, and the most shards that these ask for (messages grow with the square).
 SHARD_BYTES, MOST_SHARDS = 1 << 28, 1 << 16
 
@@ -228,6 +230,14 @@ def opened(table: pa.Table, schema: pa.Schema) -> pa.Table:
     return ordered(pa.concat_tables(found) if found else schema.empty_table())
 
 
+def parts(table: pa.Table):
+    """The rows of a shard in parts of about PART bytes of text, or one row: so that the words of one part at a time are in memory."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(table.column("text")), 0)).astype(np.int64))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART, int(ends[-1]) if len(ends) else 0, PART)) + 1, [len(ends)]]))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield table.slice(x, y - x).combine_chunks()
+
+
 def strings(offsets: np.ndarray, data: np.ndarray) -> pa.ChunkedArray:
     """Texts from their bytes and offsets, in chunks that 32-bit offsets reach."""
     n = len(offsets) - 1

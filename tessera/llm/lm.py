@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Exchange, pack, pack_counts, unpack_counts
+from tessera.llm.exchange import Exchange, pack, pack_counts, parts, unpack_counts
 from tessera.llm.textops import SPACE_WORDS, Words, mix
 
 _START, _END = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA987654321)
@@ -57,10 +57,12 @@ class Tokens:
         return mix(self.pair[at - 1] * np.uint64(5) + self.token[at])
 
 
-def _sums(keys: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how often each is used, and the place of each key among them."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, use, len(distinct)).astype(np.int64), place
+def _counted(keys: np.ndarray, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each is there without those marked."""
+    distinct, counts = np.unique(keys, return_counts=True)
+    some, times = np.unique(keys[left_out], return_counts=True)
+    counts[np.searchsorted(distinct, some)] -= times
+    return distinct, counts
 
 
 def pack_keys(keys: np.ndarray, least: int, drop: int) -> tuple:
@@ -150,23 +152,22 @@ def score(documents: DataFrame, *, folds: int = 10, held_out: int = 0, priors: t
     least = [(i << 64) // shards.n for i in range(shards.n)]
     drop = max(0, 64 - (shards.n - 1).bit_length() - 42)
 
-    def words(t: Tokens, train: np.ndarray):
-        """Distinct words and the start, their counts in the shard's training rows, and the place of each token, and the start, among them."""
-        found, counts, place = _sums(np.concatenate([t.token, np.full(1, _START, np.uint64)]), np.append(train, 0))
-        counts[place[-1]] = int((~t.held_out).sum())
-        return found, counts, place
+    def kinds(t: Tokens):
+        """Keys of the words (and the start), the pairs and the triples of a shard, with what marks those of held-out rows."""
+        held = np.repeat(t.held_out, np.diff(t.first))
+        starts = np.full(len(t.held_out) + 1, _START, np.uint64)  # one for each row, and one that is always there
+        yield np.concatenate([t.token, starts]), np.concatenate([held, t.held_out, [True]])
+        yield t.pair, held
+        yield t.triples(), held[t.later]
 
     def question(shard: int, table: pa.Table):
-        t = Tokens(table, folds, held_out)
-        train = np.repeat(~t.held_out, np.diff(t.first))
-        found, counts, _ = words(t, train)
-        cw = shards.cuts(found)
-        parts = [[found[cw[b] : cw[b + 1]], pack_counts(counts[cw[b] : cw[b + 1]])] for b in range(shards.n)]
-        for keys, use in ((t.pair, train), (t.triples(), train[t.later])):
-            found, counts, _ = _sums(keys, use)
+        parts = [[] for _ in range(shards.n)]
+        for k, (keys, held) in enumerate(kinds(Tokens(table, folds, held_out))):
+            found, counts = _counted(keys, held)
             cut = shards.cuts(found)
             for b, part in enumerate(parts):
-                part += [pack_keys(found[cut[b] : cut[b + 1]], least[b], drop), pack_counts(counts[cut[b] : cut[b + 1]])]
+                own = found[cut[b] : cut[b + 1]]
+                part += [pack_keys(own, least[b], drop) if k else own, pack_counts(counts[cut[b] : cut[b + 1]])]
         return [(b, pack(*part)) for b, part in enumerate(parts)]
 
     def reply(got):
@@ -174,7 +175,8 @@ def score(documents: DataFrame, *, folds: int = 10, held_out: int = 0, priors: t
         total = distinct = 0
         for k in (0, 2, 4):
             keys = [q[k] if k == 0 else unpack_keys(q[k]) for _, q in got]
-            _, sums, place = _sums(np.concatenate(keys), np.concatenate([unpack_counts(q[k + 1]) for _, q in got]))
+            _, place = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([unpack_counts(q[k + 1]) for _, q in got])).astype(np.int64)
             if k == 0:
                 total, distinct = int(sums.sum()), int((sums > 0).sum())
             for part, whole in zip(out, np.split(sums[place], np.cumsum([len(x) for x in keys])[:-1]), strict=True):
@@ -182,26 +184,34 @@ def score(documents: DataFrame, *, folds: int = 10, held_out: int = 0, priors: t
         return [(s, pack(total, distinct, *part)) for (s, _), part in zip(got, out, strict=True)]
 
     def use(shard: int, table: pa.Table, got):
-        t = Tokens(table, folds, held_out)
-        _, _, place = words(t, np.zeros(len(t.token), bool))
-        counts = np.concatenate([unpack_counts(a[2]) for _, a in got]) if got else np.zeros(1, np.int64)
-        starts = int(counts[place[-1]])
+        known = []  # distinct keys of each kind in the shard, and their counts
+        for k, (keys, _) in enumerate(kinds(Tokens(table, folds, held_out))):
+            known.append((np.unique(keys), np.concatenate([unpack_counts(a[k + 2]) for _, a in got]).astype(np.int64)))
+        starts = int(known[0][1][np.searchsorted(known[0][0], _START)])
         total = sum(a[0] for _, a in got) - starts
         distinct = sum(a[1] for _, a in got) - (starts > 0)
-        known = np.arange(len(counts)) != place[-1]
-        word = (np.cumsum(known) - 1)[place[:-1]]  # the start is no token
-        counts = counts[known]
+        return pa.concat_tables([scored(part, known, starts, total, distinct) for part in parts(table)] or [scored(table, known, starts, total, distinct)])
+
+    def scored(table: pa.Table, known, starts: int, total: int, distinct: int):
+        """The scores of some rows of a shard, by the automaton of the arcs that these rows can use."""
+        t = Tokens(table, folds, held_out)
+
+        def numbered(keys: np.ndarray, k: int):
+            """The first place of each distinct key, the number of each key among these, and the counts."""
+            own, at, place = np.unique(keys, return_index=True, return_inverse=True)
+            return at, place, known[k][1][np.searchsorted(known[k][0], own)]
+
+        _, word, counts = numbered(t.token, 0)
         before = np.concatenate([[-1], word[:-1]]) if len(word) else word
         before[t.first[:-1]] = -1
-        _, at, pair = np.unique(t.pair, return_index=True, return_inverse=True)
-        pairs = before[at], word[at], np.concatenate([unpack_counts(a[3]) for _, a in got]) if got else np.zeros(0, np.int64)
+        at, pair, times = numbered(t.pair, 1)
+        pairs = before[at], word[at], times
         later = np.flatnonzero(t.later)
-        _, at, third = np.unique(t.triples(), return_index=True, return_inverse=True)
-        triples = pair[later[at] - 1], pair[later[at]], np.concatenate([unpack_counts(a[4]) for _, a in got]) if got else np.zeros(0, np.int64)
+        at, third, times = numbered(t.triples(), 2)
         triple = np.full(len(word), -1)
         triple[later] = third
-        automaton = BackoffAutomaton(counts, total, distinct, starts, pairs, triples, priors)
-        added = lambda x: np.add.reduceat(x, t.first[:-1])
+        automaton = BackoffAutomaton(counts, total, distinct, starts, pairs, (pair[later[at] - 1], pair[later[at]], times), priors)
+        added = lambda x: np.add.reduceat(x, t.first[:-1]) if len(t.held_out) else x
         return pa.table(
             {
                 "doc_id": table.column("id"),

@@ -22,11 +22,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import Exchange, pack
+from tessera.llm.exchange import PART, Exchange, pack, parts
 from tessera.llm.store import written
 from tessera.llm.textops import mix, sliced
 
@@ -36,8 +35,8 @@ STARS, DEPTH = 4, 4
 SPREAD = 20_000
 #: Sets of at most so many elements send a sketch of 32 or of 64 bits, larger ones of 128.
 LEVELS = (24, 80)
-#: Bytes of text whose words are in memory at once, and postings of a bucket that are compared at once.
-PART, POSTINGS = 1 << 22, 400_000
+#: Postings of a bucket that are compared at once.
+POSTINGS = 400_000
 #: The state of a set that equals an earlier one.
 LEFT_OUT = -1
 #: Postings that are merged at once.
@@ -229,14 +228,6 @@ def required(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def parts(table: pa.Table):
-    """The rows of a shard in parts of about PART bytes of text, or one row: so that the words of one part at a time are in memory."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(table.column("text")), 0)).astype(np.int64))
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART, int(ends[-1]) if len(ends) else 0, PART)) + 1, [len(ends)]]))
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield table.slice(x, y - x).combine_chunks()
-
-
 def first_of(names: np.ndarray) -> np.ndarray:
     """For each item the first of its name."""
     _, first, place = np.unique(names, return_index=True, return_inverse=True)
