@@ -1,4 +1,10 @@
-"""From raw documents to encoded training data: five stages, each over all that the one before kept."""
+"""From raw documents to encoded training data: five stages, each over all that the one before kept.
+
+Null and empty texts get a quality score like any other and go or stay by it; later stages keep them (they have no lines with words, no shingles, no
+benchmark words, and no ids). Of rows that repeat an id or a text each is judged; the n-gram join keeps one of each group of near copies. Without labels
+every score is 0.5, so that nothing is kept. Other columns of the documents pass the first four stages, whatever their names. An empty table gives an empty
+result.
+"""
 
 from __future__ import annotations
 
