@@ -521,3 +521,70 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in first.collect()} == good and first.columns == docs.columns
     out = corpus_pipeline.run(spark, DATA).collect()
     assert out and {r["doc_id"] for r in out} <= good and all(r["n_tokens"] * 4 == len(r["ids_le"]) for r in out)
+
+
+def test_pipeline_stages(spark, documents):
+    """Stages against brute force on hard rows: near duplicates at five words and 80 %, clean documents by the contamination rule, ids as tiktoken's."""
+    import public_tokenizers as P
+    import tiktoken
+
+    docs = documents.withColumn("n_chars", F.length("text"))
+    rows = rows_of(docs)
+    sets = []
+    for _, t in rows:
+        w = SPACE.findall(low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if o and 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                parent[find(a)] = find(b)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = Counter(rows_of(kept))
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(find(k) if sets[k] else -1 - k, []).append(row)
+    expected = [min((r for r in g if r[0] is not None), default=g[0], key=lambda r: r[0]) for g in groups.values()]
+    assert sorted(map(repr, (r[0] for r in got.elements()))) == sorted(map(repr, (r[0] for r in expected)))
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], set()).add(r[1])
+    assert all(t in texts[i] for i, t in got)
+    report = {r["doc_id"]: r["contaminated"] for r in decontaminate.report(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, DATA)
+    assert clean.columns == docs.columns
+    same(rows_of(clean), [r for r in rows if not report[r[0]]])
+    vocabulary = bpe.read_ranks(bpe.default_vocabulary_path())
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={v: i for i, v in enumerate(vocabulary)}, special_tokens={})
+    some = docs.where("text is null or length(text) < 60000")
+    for r in corpus_pipeline.byte_level_bpe(spark, some, DATA).collect():
+        ids = [np.array(ref.encode_ordinary(t or ""), "<u4").tobytes() for t in texts[r["doc_id"]] if len(t or "") < 60_000]
+        assert r["ids_le"] in ids and r["n_tokens"] * 4 == len(r["ids_le"])
+    lines = corpus_pipeline.line_deduplication(spark, docs, DATA)
+    assert lines.columns == docs.columns and lines.count() == len(rows)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
+
+
+def test_bpe_edges(spark):
+    """An empty table, very long words, and columns named as the results."""
+    df = spark.createDataFrame([(1, "x" * 300_000, "a"), (2, "ab" * 100_000, "b")], "doc_id long, text string, ids_le string")
+    got = {r["doc_id"]: r for r in bpe.encode_decode(df).collect()}
+    assert bytes(got[1]["decoded"]) == b"x" * 300_000 and bytes(got[2]["decoded"]) == b"ab" * 100_000
+    assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_long_texts_are_taken_alone():
+    """Slices hold a bounded number of bytes, or one row."""
+    batch = pa.record_batch([pa.array(["a" * 100] * 50 + ["b" * 10**6] + ["c"] * 5), pa.array(range(56))], ["text", "n"])
+    got = [x for x in textops.sliced([batch], 512, 1000, 0)]
+    assert sum(x.num_rows for x in got) == 56 and max(x.num_rows for x in got) <= 10 and [x.num_rows for x in got if x.column(0)[0].as_py()[0] == "b"] == [1]
