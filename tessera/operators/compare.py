@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import zscore
+from tessera.functions import standard
 from tessera.operators import evaluate, preprocess, spatial, stats
 
 
@@ -52,6 +54,34 @@ def compare_expression(sim: DataFrame, ref: DataFrame, n_genes: int = 40, seed:
     return side(sim, a, "SIM").unionByName(side(ref, b, "REF"))
 
 
+def gene_correlations(sim: DataFrame, ref: DataFrame, top: int = 50, value: str = "count", least: int = 5) -> DataFrame:
+    """(Gene1, Gene2, Corr, Dataset) of both, both ways and with the diagonal, as tables of correlation matrices.
+
+    Of the genes that are among the `top` most variable of either side, if there are at least `least`; else of each side's own top genes. value: the
+    column that is correlated ("count", or a normalised layer).
+    """
+    tops = [preprocess.variable_genes(df, top).select("gene_id").persist() for df in (sim, ref)]
+    common = tops[0].join(tops[1], "gene_id", "left_semi").persist()
+    if common.limit(least).count() >= least:
+        tops = [common, common]
+    out = None
+    for df, genes, name in ((sim, tops[0], "SIM"), (ref, tops[1], "REF")):
+        rows = df.join(F.broadcast(genes), "gene_id", "left_semi").select("cell_id", "gene_id", F.col(value).alias("count"))
+        both = F.explode(F.array(F.struct(F.col("g1").alias("Gene1"), F.col("g2").alias("Gene2")), F.struct(F.col("g2").alias("Gene1"), F.col("g1").alias("Gene2")))).alias("p")
+        part = stats.gene_correlation(rows).select(both, F.col("r").alias("Corr")).select("p.*", "Corr").union(genes.select("gene_id", "gene_id", F.lit(1.0))).withColumn("Dataset", F.lit(name))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def matrix_similarity(correlations: DataFrame) -> DataFrame:
+    """rho: Spearman correlation of the upper triangles of both matrices; genes are matched by place in their order, as far as both sides have them."""
+    place = correlations.select("Dataset", F.col("Gene1").alias("g")).distinct().withColumn("p", F.row_number().over(Window.partitionBy("Dataset").orderBy("g")))  # at most `top` rows a side
+    rows = correlations.join(F.broadcast(place.select("Dataset", F.col("g").alias("Gene1"), F.col("p").alias("i"))), ["Dataset", "Gene1"])
+    rows = rows.join(F.broadcast(place.select("Dataset", F.col("g").alias("Gene2"), F.col("p").alias("j"))), ["Dataset", "Gene2"]).where("i < j")
+    side = lambda name, out: rows.where(F.col("Dataset") == name).select("i", "j", F.col("Corr").alias(out))
+    return stats.spearman(side("SIM", "r").join(side("REF", "q"), ["i", "j"]), "r", "q")
+
+
 def correlation_of_correlations(sim: DataFrame, ref: DataFrame, top: int = 50) -> DataFrame:
     """Spearman correlation of the gene correlations that both have, among the most expressed common genes."""
     common = sim.groupBy("gene_id").agg(F.sum("count").alias("t")).join(ref.select("gene_id").distinct(), "gene_id", "left_semi")
@@ -65,7 +95,8 @@ def compare_spatial(sim: DataFrame, ref: DataFrame, k: int = 5, rows: int | None
     out = None
     for name, df in (("simulated", sim), ("reference", ref)):
         ok = df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("x", "y")))
-        z = ok.select("cell_id", *[zscore(F.col(c), stats.whole()).alias(c) for c in ("x", "y")]).where("x is not null and y is not null")
+        ok = stats.with_totals(ok.select("cell_id", "x", "y"), **{f"_{f}{c}": getattr(F, g)(c) for c in ("x", "y") for f, g in (("m", "avg"), ("s", "stddev_samp"))})
+        z = ok.select("cell_id", *[standard(F.col(c), F.col(f"_m{c}"), F.col(f"_s{c}")).alias(c) for c in ("x", "y")]).where("x is not null and y is not null")
         part = z if rows is None else stats.uniform_sample(z, "cell_id", rows, seed)
         row = spatial.knn_mean_distance(part, k).agg(F.avg("mean_dist").alias("nn_dist")).crossJoin(spatial.distance_summary(part)).select(F.lit(name).alias("dataset"), "nn_dist", "mean_dist", "sd_dist", "cv")
         out = row if out is None else out.unionByName(row)
@@ -77,35 +108,49 @@ def dropout_test(expr: DataFrame, cells: DataFrame) -> DataFrame:
     return stats.regression(stats.cell_stats(expr).join(spatial.nearest_centroid(cells), "cell_id"), "zero_frac", "dist_to_center")
 
 
-def compare_clustering(expr: DataFrame, true: DataFrame, dims: int = 20, resolution: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shares of communities, ARI against the true clusters, and mean silhouette on the components."""
+def structure(expr: DataFrame, dims: int = 20, resolution: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(cell_id, community) of a dataset, and the mean silhouette of its communities on the components."""
     scores, _ = preprocess.pca(preprocess.scale_genes(preprocess.log_normalize(expr)), "scaled", dims)
     scores = scores.persist()
-    found = preprocess.communities(scores, resolution)
-    pairs = true.select("cell_id", F.col("cluster").cast("string").alias("true")).join(found.select("cell_id", F.col("community").cast("string").alias("pred")), "cell_id")
+    found = preprocess.communities(scores, resolution).persist()
     flat = scores.select("cell_id", *[F.col("v")[i].alias(f"c{i}") for i in range(dims)]).join(found.withColumnRenamed("community", "cluster"), "cell_id")
-    sil = spatial.silhouette(flat, "cell_id", tuple(f"c{i}" for i in range(dims))).agg(F.avg("silhouette").alias("mean_silhouette"))
-    return stats.frequencies(found, "community"), evaluate.adjusted_rand_index(pairs), sil
+    return found, spatial.silhouette(flat, "cell_id", tuple(f"c{i}" for i in range(dims))).agg(F.avg("silhouette").alias("mean_silhouette"))
 
 
-def validation_summary(sim: dict[str, DataFrame], ref: dict[str, DataFrame]) -> DataFrame:
+def compare_clustering(sim: dict[str, DataFrame], ref: dict[str, DataFrame], dims: int = 20, resolution: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(test, value) of the clusterings of both datasets, and (dataset, cluster, prop_size): the share of cells of each cluster.
+
+    The tests: mean silhouette of both, ARI of the simulated clusters against the found ones, number of clusters of both.
+    """
+    (a, sil_a), (b, sil_b) = (structure(x["expression"], dims, resolution) for x in (sim, ref))
+    pairs = sim["cells"].select("cell_id", F.col("cluster").cast("string").alias("true")).join(a.select("cell_id", F.col("community").cast("string").alias("pred")), "cell_id")
+    named = lambda df, test, value: df.select(F.lit(test).alias("test"), F.col(value).cast("double").alias("value"))
+    count = lambda df: df.agg(F.count_distinct("community").alias("n"))
+    rows = [named(sil_a, "Silhouette (sim)", "mean_silhouette"), named(sil_b, "Silhouette (ref)", "mean_silhouette"), named(evaluate.adjusted_rand_index(pairs), "ARI (sim vs original)", "ari"), named(count(a), "N clusters (sim)", "n"), named(count(b), "N clusters (ref)", "n")]
+    sizes = [stats.frequencies(df, "community").select(F.lit(name).alias("dataset"), F.col("community").alias("cluster"), F.col("freq").alias("prop_size")) for df, name in ((a, "SIM"), (b, "REF"))]
+    return functools.reduce(DataFrame.union, rows), sizes[0].union(sizes[1])
+
+
+def compare_markers(sim: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dataset, cluster, n_markers), and (dataset, avg_log2fc) of all markers of both."""
+    found = [markers(df).select(F.lit(name).alias("dataset"), "cluster", "avg_log2fc") for df, name in ((sim, "SIM"), (ref, "REF"))]
+    both = found[0].union(found[1])
+    return both.groupBy("dataset", "cluster").agg(F.count("*").alias("n_markers")), both.select("dataset", "avg_log2fc")
+
+
+def validation_summary(sim: dict[str, DataFrame], ref: dict[str, DataFrame], dims: int = 20, resolution: float = 0.5) -> DataFrame:
     """(test, value): six figures of a simulated against a reference dataset."""
-    _, ari, sil = compare_clustering(sim["expression"], sim["cells"])
-    space = compare_spatial(sim["cells"], ref["cells"])
+    tests, _ = compare_clustering(sim, ref, dims, resolution)
     drop = dropout_test(sim["expression"], sim["cells"])
-    found = markers(sim["expression"].join(sim["cells"].select("cell_id", "cluster"), "cell_id"))
-    rows = [
-        ari.select(F.lit("ari").alias("test"), F.col("ari").alias("value")),
-        sil.select(F.lit("silhouette"), "mean_silhouette"),
-        space.where("dataset = 'simulated'").select(F.lit("nn_distance"), "nn_dist"),
-        space.where("dataset = 'simulated'").select(F.lit("distance_cv"), "cv"),
-        drop.select(F.lit("dropout_p_value"), "p_value"),
-        found.agg(F.lit("markers"), F.count("*").cast("double")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    return tests.union(drop.select(F.lit("Dropout-distance p-value"), "p_value"))
+
+
+def reduced_validation(sim: DataFrame, ref: DataFrame, n_genes: int = 40, top: int = 50, cap: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Without clusterings: gene statistics of both, correlation matrices of both (the first `cap` rows of each, for plots), and their similarity."""
+    layer = lambda df: preprocess.log_normalize(df.select("cell_id", "gene_id", "count"))
+    matrices = gene_correlations(layer(sim), layer(ref), top, "value").persist()  # at most 2 x top x top rows
+    shown = matrices.withColumn("_r", F.row_number().over(Window.partitionBy("Dataset").orderBy("Gene2", "Gene1"))).where(F.col("_r") <= cap).drop("_r")
+    return compare_expression(sim, ref, n_genes), shown, matrix_similarity(matrices)
 
 
 def diagnostics(cells: DataFrame, expr: DataFrame, *, dispersion=(5.0, 0.5), dropout=(0.1, 0.5), bins: int = 50, top: int = 20, per_cluster: int = 500, grid: int = 100) -> dict[str, DataFrame]:

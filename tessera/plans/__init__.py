@@ -79,8 +79,20 @@ def diagnose(spark: SparkSession, path: str, output: str | None = None) -> dict[
 
 
 def validate(spark: SparkSession, simulated: str, reference: str, output: str | None = None) -> DataFrame:
+    """(test, value) of a simulated against a reference dataset; written as CSV where `output` is given."""
     a, b = (sources.read_bundle(spark, p, "cells", "expression") for p in (simulated, reference))
     summary = compare.validation_summary(a, b)
     if output:
         sources.write_csv(summary.coalesce(1), output)
     return summary
+
+
+def validate_reduced(spark: SparkSession, simulated: str, reference: str, output: str | None = None) -> dict[str, DataFrame]:
+    """Gene statistics, correlation matrices and their similarity, without clusterings; CSV and a line of text in the folder `output` where it is given."""
+    a, b = (sources.read_bundle(spark, p, "cells", "expression")["expression"] for p in (simulated, reference))
+    expression, matrices, rho = compare.reduced_validation(a, b)
+    if output:
+        sources.make_folder(output)
+        sources.write_csv(expression.coalesce(1), f"{output}/expression_stats.csv")
+        sources.write_text([f"Correlation of correlation matrices (spearman): {rho.first()['rho']}"], f"{output}/correlation_of_correlations.txt")
+    return {"expression": expression, "correlations": matrices, "similarity": rho}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
 
@@ -59,6 +60,20 @@ def write_text(lines: list[str], path: str) -> None:
         f.write("\n".join(lines) + "\n")
 
 
+def make_folder(path: str) -> None:
+    os.makedirs(path, exist_ok=True)
+
+
+def list_outputs(path: str, pattern: str = "*") -> list[str]:
+    """Names in a folder that match a shell pattern, sorted."""
+    return sorted(fnmatch.filter(os.listdir(path), pattern)) if os.path.isdir(path) else []
+
+
+def starting_with(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    """The columns whose names begin with a prefix, and those of `keep` before them."""
+    return df.select(*keep, *[c for c in df.columns if c.startswith(prefix) and c not in keep])
+
+
 def resolve_k(cells: DataFrame, k: int | None = None, stored: int | None = None) -> int:
     """The number of classes: as given, else as stored, else the number of distinct labels."""
     return k or stored or cells.select(F.count_distinct("cluster")).first()[0]
