@@ -163,7 +163,11 @@ def hybrid_mix(spark, sf):
     return simulate.hybrid_weights(spatial.hybrid_pairs(c), c).select("cell_id", "other", *r6("weight"))
 
 
-@query()
+@query(_HYBRID + """, prof AS (SELECT CAST(c - 1 AS INT) AS cluster, CAST(g AS INT) AS gene_id, 2 + CAST(CASE WHEN g > (c - 1) * 2 AND g <= c * 2 THEN 0.8 ELSE 0 END + CASE WHEN c > 1 AND g > (c - 2) * 2 AND g <= (c - 1) * 2 THEN 0.4 ELSE 0 END AS DOUBLE) AS mu
+FROM range(1, 11) a(c), range(1, 21) b(g)),
+tails AS (SELECT *, coalesce(exp(sum(ln(1 - weight)) OVER (PARTITION BY cell_id ORDER BY other ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1) AS tail FROM hw),
+moved AS (SELECT h.cell_id, p.gene_id, exp(sum(ln(1 - weight))) AS w, sum(weight * tail * p.mu) AS s FROM tails h JOIN prof p ON p.cluster = h.other GROUP BY ALL)
+SELECT c.cell_id, p.gene_id, round(CASE WHEN s IS NULL THEN p.mu ELSE w * p.mu + s END, 6) AS mu FROM cells c JOIN prof p USING (cluster) LEFT JOIN moved m ON m.cell_id = c.cell_id AND m.gene_id = p.gene_id""")
 def hybrid_means(spark, sf):
     c = _cells(spark, sf)
     p = simulate.marker_profile(spark, 10, 20, 2, 0.8, 0.4).withColumn("cluster", F.col("cluster") - 1)
@@ -257,7 +261,10 @@ def gene_correlation(spark, sf):
     return stats.gene_correlation(_expr(spark, sf)).select("g1", "g2", *r6("r"))
 
 
-@query()
+@query(""", tops AS (SELECT gene_id FROM expr WHERE cell_id % 2 = 0 GROUP BY gene_id ORDER BY sum(count) DESC, gene_id LIMIT 50)
+SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2 AS ra, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS rb FROM (
+SELECT a.gene_id AS g1, b.gene_id AS g2, corr(a.count, b.count) FILTER (WHERE a.cell_id % 2 = 0) AS r, corr(a.count, b.count) FILTER (WHERE a.cell_id % 2 = 1) AS q FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene_id < b.gene_id
+WHERE a.gene_id IN (SELECT gene_id FROM tops) AND b.gene_id IN (SELECT gene_id FROM tops) GROUP BY ALL))""")
 def correlation_of_correlations(spark, sf):
     e = _expr(spark, sf)
     return compare.correlation_of_correlations(e.where("cell_id % 2 = 0"), e.where("cell_id % 2 = 1")).select(*r6("rho"))
@@ -365,7 +372,14 @@ def marker_rank_sum(spark, sf):
     return compare.marker_rank_sum(_expr(spark, sf)).select("cluster", "gene_id", *r6("u"))
 
 
-@query()
+@query(""", v AS (SELECT *, ln(1 + coalesce(count * 10000.0 / nullif(sum(count) OVER (PARTITION BY cell_id), 0), 0)) AS value FROM expr),
+rk AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2 AS rnk FROM v),
+tie AS (SELECT gene_id, sum(n * n * n - n) AS t, sum(n) AS al FROM (SELECT gene_id, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY gene_id, value) GROUP BY gene_id),
+wh AS (SELECT gene_id, CAST(sum(CAST(count > 0 AS INT)) AS DOUBLE) AS p, sum(exp(value) - 1) AS s FROM v GROUP BY gene_id),
+own AS (SELECT cluster, gene_id, CAST(sum(CAST(count > 0 AS INT)) AS DOUBLE) AS p, sum(exp(value) - 1) AS s, CAST(count(*) AS DOUBLE) AS n, sum(rnk) AS r FROM rk GROUP BY cluster, gene_id),
+m AS (SELECT o.cluster, o.gene_id, o.p / n AS pct, (w.p - o.p) / (al - n) AS pr, log2(o.s / n + 1) - log2((w.s - o.s) / (al - n) + 1) AS fc,
+  (r - n * (n + 1) / 2 - n * (al - n) / 2) / sqrt(n * (al - n) / 12 * (al + 1 - t / (al * (al - 1)))) AS z FROM own o JOIN wh w USING (gene_id) JOIN tie USING (gene_id))
+SELECT cluster, gene_id, round(pct, 6) AS pct, round(fc, 6) AS avg_log2fc, round(z, 6) AS z FROM m WHERE greatest(pct, pr) >= 0.25 AND fc >= 0.25""")
 def markers(spark, sf):
     return compare.markers(_expr(spark, sf)).select("cluster", "gene_id", *r6("pct", "avg_log2fc", "z"))
 
@@ -387,13 +401,22 @@ def unpivot_coordinates(spark, sf):
     return _cells(spark, sf).unpivot("cell_id", ["x", "y"], "name", "value")
 
 
-@query()
+_SIDE = """SELECT 'gene-' || gene_id AS gene, '{name}' AS dataset, round(avg(count), 6) AS mean_expr, round(var_samp(count), 6) AS var_expr, round(stddev_samp(count) / nullif(avg(count), 0), 6) AS cv_expr, round(avg(CAST(count = 0 AS INT)), 6) AS zero_frac
+FROM expr WHERE cluster {part} AND gene_id IN (SELECT gene_id FROM picked) GROUP BY gene_id"""
+
+
+@query(f", picked AS (SELECT gene_id FROM (SELECT DISTINCT gene_id FROM expr) ORDER BY {draw(42, 'genes', 'gene_id')}, gene_id LIMIT 40) " + _SIDE.format(name="SIM", part="< 5") + " UNION ALL " + _SIDE.format(name="REF", part=">= 5"))
 def compare_expression(spark, sf):
     e = _expr(spark, sf)
     return compare.compare_expression(e.where("cluster < 5"), e.where("cluster >= 5")).select("gene", "dataset", *r6("mean_expr", "var_expr", "cv_expr", "zero_frac"))
 
 
-@query()
+_SPACE = """SELECT '{name}' AS dataset, round((SELECT avg(dist) FROM zn WHERE r <= 5 AND s = {s}), 6) AS nn_dist, round(avg(dist), 6) AS mean_dist, round(stddev_samp(dist), 6) AS sd_dist, round(stddev_samp(dist) / avg(dist), 6) AS cv FROM zp WHERE s = {s}"""
+
+
+@query(""", z AS (SELECT cell_id, cluster >= 5 AS s, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS x, (y - avg(y) OVER w) / stddev_samp(y) OVER w AS y FROM cells WINDOW w AS (PARTITION BY cluster >= 5)),
+zp AS (SELECT a.s, a.cell_id, b.cell_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM z a JOIN z b ON a.s = b.s AND a.cell_id <> b.cell_id),
+zn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist, dst) AS r FROM zp) """ + _SPACE.format(name="simulated", s="false") + " UNION ALL " + _SPACE.format(name="reference", s="true"))
 def compare_spatial(spark, sf):
     c = _cells(spark, sf)
     return compare.compare_spatial(c.where("cluster < 5"), c.where("cluster >= 5")).select("dataset", *r6("nn_dist", "mean_dist", "sd_dist", "cv"))
@@ -404,7 +427,7 @@ def negative_binomial_fit(spark, sf):
     return stats.fit_negative_binomial(_expr(spark, sf)).select("gene_id", F.round("size", 4).alias("size"), *r6("mu"))
 
 
-@query()
+@query("""SELECT CAST(i / 20.0 AS DOUBLE) AS at, round(avg(exp(-((value - i / 20.0) / 0.05) * ((value - i / 20.0) / 0.05) / 2)) / (0.05 * sqrt(2 * pi())), 6) AS density FROM pixels, range(0, 21) t(i) GROUP BY i""")
 def kernel_density(spark, sf):
     return stats.kernel_density(_pixels(spark, sf), "value", [i / 20 for i in range(21)], 0.05).select("at", *r6("density"))
 
@@ -446,6 +469,102 @@ def simulate_counts(spark, sf):
     return simulate.simulate(_pixels(spark, sf).select("x", "y", "value"), Params())["expression"]
 
 
-@query()
+def _diagnostics(spark, sf, name):
+    return compare.diagnostics(_cells(spark, sf), _expr(spark, sf))[name]
+
+
+@query("SELECT * FROM cells")
+def diagnostics_spatial(spark, sf):
+    return _diagnostics(spark, sf, "spatial")
+
+
+@query("SELECT cluster, gene_id, round(m, 6) AS mean_expr FROM means")
+def diagnostics_profile(spark, sf):
+    return _diagnostics(spark, sf, "profile").select("cluster", "gene_id", *r6("mean_expr"))
+
+
+_MAPS = ", md AS (SELECT cell_id, avg(dist) AS m FROM pairs WHERE cluster = d GROUP BY cell_id) "
+
+
+@query(_MAPS + "SELECT cell_id, round(m, 6) AS mean_dist, x, y, cluster FROM md JOIN cells USING (cell_id)")
+def diagnostics_distance(spark, sf):
+    return _diagnostics(spark, sf, "distance").select("cell_id", *r6("mean_dist"), "x", "y", "cluster")
+
+
+@query(_MAPS + "SELECT cell_id, round(m, 6) AS mean_dist, round(5 + (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) * (0.5 - 5), 6) AS dispersion FROM md")
+def diagnostics_dispersion(spark, sf):
+    return _diagnostics(spark, sf, "dispersion").select("cell_id", *r6("mean_dist", "dispersion"))
+
+
+@query(_MAPS + "SELECT cell_id, round(m, 6) AS mean_dist, round(0.1 + (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) * 0.4, 6) AS dropout FROM md")
+def diagnostics_dropout(spark, sf):
+    return _diagnostics(spark, sf, "dropout").select("cell_id", *r6("mean_dist", "dropout"))
+
+
+@query(""", kept AS (SELECT * FROM expr WHERE gene_id NOT IN (SELECT gene_id FROM gstats WHERE v / (m * m) < (SELECT quantile_cont(v / (m * m), 0.1) FROM gstats)))
+SELECT CAST(least(floor((count - lo) * 50.0 / (hi - lo)) + 1, 50) AS INT) AS bin, count(*) AS n FROM kept, (SELECT min(count) AS lo, max(count) AS hi FROM kept) GROUP BY bin""")
+def diagnostics_histogram(spark, sf):
+    return _diagnostics(spark, sf, "histogram")
+
+
+@query("SELECT cell_id, CAST(sum(count) AS BIGINT) AS n_count, CAST(sum(CAST(count > 0 AS INT)) AS BIGINT) AS n_feature, round(avg(CAST(count = 0 AS INT)), 6) AS zero_frac, any_value(c.x) AS x, any_value(c.y) AS y, any_value(c.cluster) AS cluster FROM expr JOIN cells c USING (cell_id) GROUP BY cell_id")
 def diagnostics_observed_dropout(spark, sf):
-    return compare.diagnostics(_cells(spark, sf), _expr(spark, sf))["observed_dropout"].select("cell_id", "n_count", "n_feature")
+    return _diagnostics(spark, sf, "observed_dropout").select("cell_id", "n_count", "n_feature", *r6("zero_frac"), "x", "y", "cluster")
+
+
+@query(f""", capped AS (SELECT cell_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {draw(42, 'cap', 'cell_id')}, cell_id) AS r FROM cells) WHERE r <= 500),
+best AS (SELECT gene_id FROM spec ORDER BY s DESC, gene_id LIMIT 20)
+SELECT cell_id, gene_id, round((count - avg(count) OVER w) / nullif(stddev_samp(count) OVER w, 0), 6) AS z FROM expr WHERE cell_id IN (SELECT cell_id FROM capped) AND gene_id IN (SELECT gene_id FROM best) WINDOW w AS (PARTITION BY cell_id)""")
+def diagnostics_heatmap(spark, sf):
+    return _diagnostics(spark, sf, "heatmap").select("cell_id", "gene_id", *r6("z"))
+
+
+@query(""", rep AS (SELECT DISTINCT coalesce(gene_id, 1) AS gene_id FROM (SELECT DISTINCT cluster FROM expr) c LEFT JOIN (SELECT cluster, arg_min(gene_id, (-s, gene_id)) AS gene_id FROM spec GROUP BY cluster) USING (cluster))
+SELECT e.cell_id, e.cluster, e.gene_id, e.count, x, y FROM expr e JOIN cells USING (cell_id) WHERE e.gene_id IN (SELECT gene_id FROM rep)""")
+def diagnostics_representative(spark, sf):
+    return _diagnostics(spark, sf, "representative").select("cell_id", "cluster", "gene_id", "count", "x", "y")
+
+
+@query("SELECT cell_id, CAST(sum(CAST(cell_id <> dst AND dist <= 10 AS INT)) AS BIGINT) AS n, any_value(c.x) AS x, any_value(c.y) AS y, any_value(c.cluster) AS cluster FROM pairs p JOIN cells c USING (cell_id) GROUP BY cell_id")
+def diagnostics_density(spark, sf):
+    return _diagnostics(spark, sf, "density").select("cell_id", "n", "x", "y", "cluster")
+
+
+def _sides(spark, sf):
+    c, e = _cells(spark, sf), _expr(spark, sf)
+    return tuple({"cells": c.where(part), "expression": e.where(part).drop("cluster")} for part in ("cluster < 5", "cluster >= 5"))
+
+
+@query()
+def validation_summary(spark, sf):
+    return compare.validation_summary(*_sides(spark, sf)).select("test", *r6("value"))
+
+
+@query()
+def compare_clustering(spark, sf):
+    return compare.compare_clustering(*_sides(spark, sf))[1].select("dataset", "cluster", *r6("prop_size"))
+
+
+_MATRIX = """, lay AS (SELECT cell_id, cluster < 5 AS s, gene_id, ln(1 + coalesce(count * 10000.0 / nullif(sum(count) OVER (PARTITION BY cell_id), 0), 0)) AS value FROM expr),
+mat AS (SELECT a.s, a.gene_id AS g1, b.gene_id AS g2, corr(a.value, b.value) AS r FROM lay a JOIN lay b ON a.cell_id = b.cell_id WHERE a.gene_id IN (SELECT gene_id FROM tops) AND b.gene_id IN (SELECT gene_id FROM tops) GROUP BY ALL)
+"""
+_TOPS = ", " + ", ".join(f"""g{k} AS (SELECT gene_id, log10(avg(count)) AS m, log10(var_samp(count)) AS v FROM expr WHERE cluster {part} GROUP BY gene_id HAVING avg(count) > 0 AND var_samp(count) > 0),
+t{k} AS (SELECT gene_id FROM g{k}, (SELECT regr_slope(v, m) AS a, regr_intercept(v, m) AS b FROM g{k}) ORDER BY v - a * m - b DESC, gene_id LIMIT 50)""" for k, part in ((1, "< 5"), (2, ">= 5"))) + ", tops AS (SELECT gene_id FROM t1 SEMI JOIN t2 USING (gene_id))"
+
+
+@query(_TOPS + _MATRIX + "SELECT CASE WHEN s THEN 'SIM' ELSE 'REF' END AS \"Dataset\", g1 AS \"Gene1\", g2 AS \"Gene2\", round(CASE WHEN g1 = g2 THEN 1 ELSE r END, 6) AS \"Corr\" FROM mat")
+def gene_correlation_matrices(spark, sf):
+    a, b = _sides(spark, sf)
+    return compare.reduced_validation(a["expression"], b["expression"])[1].select("Dataset", "Gene1", "Gene2", *r6("Corr"))
+
+
+@query(_TOPS + _MATRIX + """SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2 AS ra, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS rb
+FROM (SELECT a.r, b.r AS q FROM mat a JOIN mat b ON a.g1 = b.g1 AND a.g2 = b.g2 AND a.s AND NOT b.s WHERE a.g1 < a.g2))""")
+def correlation_matrix_similarity(spark, sf):
+    a, b = _sides(spark, sf)
+    return compare.reduced_validation(a["expression"], b["expression"])[2].select(*r6("rho"))
+
+
+@query(_SIL + "SELECT round(avg(w), 6) AS mean_silhouette FROM sil")
+def mean_silhouette(spark, sf):
+    return spatial.silhouette(_cells(spark, sf)).agg(F.round(F.avg("silhouette"), 6).alias("mean_silhouette"))

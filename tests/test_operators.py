@@ -18,6 +18,9 @@ TRUE = list("abcde")
 GOLDEN = {
     "easy graph": ([[8114, 32, 23, 15, 2], [35, 7332, 47, 12, 2], [18, 8, 7052, 14, 4], [13, 9, 12, 4992, 6], [7, 0, 2, 3, 2246]], list("abcde"), 29736, 0.976895, 29736),
     "medium graph": ([[1003, 6511, 242, 190, 240], [1098, 191, 5781, 180, 178], [922, 191, 201, 5386, 396], [4446, 129, 136, 203, 118], [233, 85, 31, 40, 1869]], list("abcde"), 3467, 0.567658, 23993),
+    "easy density": ([[8112, 28, 26, 12, 8], [43, 7332, 35, 13, 5], [17, 11, 7046, 11, 11], [16, 10, 15, 4978, 13], [3, 1, 2, 0, 2252]], list("abcde"), 29720, 0.975998, 29720),
+    "medium density": ([[4447, 175, 574, 11, 383, 2596], [4278, 132, 18, 23, 11, 2966], [3896, 273, 15, 10, 10, 2892], [2933, 106, 7, 385, 7, 1594], [377, 1720, 8, 2, 2, 149]], [*"abcde", "noise"], 4981, 0.049702, 9849),
+    "hard graph": ([[2851, 288, 211, 737, 194, 3905], [2603, 548, 374, 169, 735, 2999], [2655, 220, 171, 141, 168, 3741], [1576, 841, 526, 119, 111, 1859], [1103, 54, 54, 115, 54, 878]], [*"abcde", "noise"], 3743, 0.012753, 8283),
     "hard density": ([[8091, 94, 1, 0, 0], [7339, 84, 5, 0, 0], [7033, 61, 2, 0, 0], [4975, 56, 1, 0, 0], [2240, 17, 1, 0, 0]], list("abcde"), 8177, -0.000198, 8177),
 }
 
@@ -195,3 +198,126 @@ def test_simulate_counts_is_registered_at_full_size(spark):
     pixels = simulate.threshold(queries._pixels(spark, DATA)).count()
     got = queries.simulate_counts(spark, DATA).agg(F.count_distinct("cell_id").alias("c"), F.count_distinct("gene_id").alias("g")).first()
     assert (got["c"], got["g"]) == (min(pixels, Params().n_cells), Params().n_genes)
+
+
+def test_neighbours_by_tree(spark):
+    """Skewed points, many of them equal: exactly the neighbours of brute force, ties to the lesser id, from few pairs of leaves."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    x, y = rng.normal(size=(2, n)) ** 3
+    x[:400], y[:400] = 1.0, 1.0
+    cells = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(n), "x": x, "y": y, "cluster": 1}))
+    near = spatial.neighbours(spatial.points(cells), spatial.points(cells), 4, block=64).toPandas().sort_values(["id", "rank"])
+    d = np.sqrt((x[:, None] - x[None]) ** 2 + (y[:, None] - y[None]) ** 2)
+    np.fill_diagonal(d, np.inf)
+    best = [np.lexsort((np.arange(n), row))[:4].tolist() for row in d]
+    assert near.groupby("id").dst.agg(list).tolist() == best
+    tree = spatial.Tree(np.stack([x, y], 1), 64)
+    _, leaf = tree.find(np.stack([x, y], 1), np.full(n, -1.0))
+    _, all_near = tree.find(np.stack([x, y], 1), np.sort(d, 1)[:, 3])
+    assert len(leaf) == n and len(np.unique(leaf)) > 10 and len(all_near) < 5 * n
+    other = spark.createDataFrame([(7, 0.5, 0.5, 1)], "cell_id long, x double, y double, cluster int")
+    few = spatial.neighbours(spatial.points(other), spatial.points(cells), 3, same=False, block=64).toPandas()
+    assert few.sort_values("rank").dst.tolist() == np.lexsort((np.arange(n), np.hypot(x - 0.5, y - 0.5)))[:3].tolist()
+
+
+def test_distances_within_clusters(spark):
+    cells = _cells(spark, 300)
+    p = cells.toPandas().sort_values("cell_id")
+    d = np.hypot(*(p[c].to_numpy()[:, None] - p[c].to_numpy()[None] for c in "xy"))
+    same = p.cluster.to_numpy()[:, None] == p.cluster.to_numpy()[None]
+    got = spatial.mean_intra_distance(cells).toPandas().sort_values("cell_id").mean_dist
+    assert np.allclose(got, (d * same).sum(1) / same.sum(1))
+
+
+def test_local_density_has_a_limit(spark, monkeypatch):
+    cells = _cells(spark, 200)
+    p = cells.toPandas().sort_values("cell_id")
+    d = np.hypot(*(p[c].to_numpy()[:, None] - p[c].to_numpy()[None] for c in "xy"))
+    expected = (d < np.quantile(d, 0.1, axis=1)[:, None]).mean(1)
+    assert np.allclose(spatial.local_density(cells).toPandas().sort_values("cell_id").density, expected)
+    monkeypatch.setattr(spatial, "BROADCAST", 100)
+    with pytest.raises(ValueError):
+        spatial.local_density(cells)
+
+
+def test_ranks_and_numbers_without_one_task(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "v": rng.integers(0, 50, 400).astype(float)})).repartition(5)
+    ranks = stats.average_rank(df, "v", "r").toPandas().sort_values("id")
+    assert np.allclose(ranks.r, ranks.v.rank())
+    numbers = stats.numbered(df, "n", "v", "id").toPandas().sort_values(["v", "id"])
+    assert numbers.n.tolist() == list(range(1, 401))
+
+
+def test_images(spark, tmp_path):
+    """Pixel rows of written images: grey, colour, and colour with an alpha channel."""
+    import struct
+    import zlib
+
+    def png(name, kind, pixels):
+        part = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+        rows = b"".join(b"\0" + bytes(v for p in row for v in p) for row in pixels)
+        path = tmp_path / name
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+        return str(path)
+
+    read = lambda path: {(r.x, r.y): r.value for r in sources.read_image(spark, path).collect()}
+    grey = read(png("g.png", 0, [[(0,), (51,), (255,)], [(102,), (153,), (204,)]]))
+    assert grey == {(x + 1, y + 1): pytest.approx(v / 255) for y, row in enumerate([[0, 51, 255], [102, 153, 204]]) for x, v in enumerate(row)}
+    colours = [[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (255, 255, 255)]]
+    expected = {(1, 1): 0.3, (2, 1): 0.59, (1, 2): 0.11, (2, 2): 1.0}
+    assert read(png("c.png", 2, colours)) == {k: pytest.approx(v) for k, v in expected.items()}
+    assert read(png("a.png", 6, [[(*c, 255) for c in row] for row in colours])) == {k: pytest.approx(v) for k, v in expected.items()}
+    with pytest.raises(ValueError):
+        sources.read_image(spark, None)
+
+
+def test_outputs(spark, tmp_path):
+    sources.make_folder(f"{tmp_path}/out/deep")
+    sources.write_text(["one", "two"], f"{tmp_path}/out/a.txt")
+    sources.write_csv(spark.createDataFrame([("a", 1.5), ("b", None)], "k string, v double").coalesce(1), f"{tmp_path}/out/b.csv")
+    assert sources.list_outputs(f"{tmp_path}/out") == ["a.txt", "b.csv", "deep"] and sources.list_outputs(f"{tmp_path}/out", "*.csv") == ["b.csv"] and sources.list_outputs(f"{tmp_path}/none") == []
+    back = spark.read.option("header", True).option("nullValue", "NA").csv(f"{tmp_path}/out/b.csv")
+    assert sorted(map(tuple, back.collect())) == [("a", "1.5"), ("b", None)]
+    assert any("NA" in x.read_text() for x in (tmp_path / "out/b.csv").glob("part-*"))
+    df = spark.createDataFrame([(1, 2, 3, 4)], "cell_id int, score_a int, score_b int, other int")
+    assert sources.starting_with(df, "score_", "cell_id").columns == ["cell_id", "score_a", "score_b"]
+
+
+def test_null_labels_are_left_out(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", None), (None, "x"), ("b", "y")], "true string, pred string")
+    assert sorted(map(tuple, evaluate.contingency(pairs).collect())) == [("a", "x", 1), ("a", "y", 0), ("b", "x", 0), ("b", "y", 1)]
+    assert evaluate.adjusted_mutual_information(pairs).first()[0] == pytest.approx(1.0) and evaluate.adjusted_rand_index(pairs).first()[0] == 1.0
+
+
+def test_log_factorials():
+    import math
+
+    n = np.array([0, 1, 2, 10, 255, 256, 1000, 10**6, 10**9])
+    assert np.allclose(evaluate.log_factorial(n), [math.lgamma(x + 1) for x in n.tolist()], rtol=1e-13)
+
+
+def test_validation(spark, tmp_path):
+    """Six figures of a simulated against a reference dataset, the reduced validation and its files."""
+    paths = []
+    for seed in (1, 2):
+        pixels = spark.createDataFrame(pd.DataFrame([(x, y, ((x // 10) % 3) / 4 + 0.05) for x in range(1, 31) for y in range(1, 8)], columns=["x", "y", "value"]))
+        out = plans.simulate_spatial_counts(spark, pixels=pixels, output_path=f"{tmp_path}/{seed}", n_cells=150, n_genes=30, k=3, seed=seed, difficulty="easy")
+        assert out["cells"].count() > 100
+        paths.append(f"{tmp_path}/{seed}")
+    rows = {r.test: r.value for r in plans.validate(spark, *paths, f"{tmp_path}/summary.csv").collect()}
+    assert list(rows) == ["Silhouette (sim)", "Silhouette (ref)", "ARI (sim vs original)", "N clusters (sim)", "N clusters (ref)", "Dropout-distance p-value"]
+    assert rows["ARI (sim vs original)"] > 0.1 and rows["N clusters (sim)"] >= 2 and 0 <= rows["Dropout-distance p-value"] <= 1
+    parts = plans.validate_reduced(spark, *paths, f"{tmp_path}/reduced")
+    assert sources.list_outputs(f"{tmp_path}/reduced") == ["correlation_of_correlations.txt", "expression_stats.csv"]
+    assert parts["expression"].count() == 60 and -1 <= parts["similarity"].first()["rho"] <= 1
+    matrix = parts["correlations"].toPandas()
+    n = matrix[matrix.Dataset == "SIM"].Gene1.nunique()
+    assert len(matrix) == 2 * n * n and (matrix[matrix.Gene1 == matrix.Gene2].Corr == 1).all()
+    sides = [spark.read.parquet(f"{p}/expression").join(spark.read.parquet(f"{p}/cells").select("cell_id", "cluster"), "cell_id") for p in paths]
+    per, changes = compare.compare_markers(*sides)
+    assert {r.dataset for r in per.collect()} == {"SIM", "REF"} and changes.count() == per.agg(F.sum("n_markers")).first()[0]
+    scores, _ = preprocess.pca(preprocess.log_normalize(sides[0]), "value", 4)
+    sd = [r.sd for r in preprocess.elbow(scores).orderBy("component").collect()]
+    assert len(sd) == 4 and sd == sorted(sd, reverse=True)
