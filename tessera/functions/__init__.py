@@ -28,15 +28,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def rescale(c: Column, low: float, high: float, over: WindowSpec) -> Column:
-    """Linear map of the range within the window onto (low, high), reversed if low > high; a single value goes to the middle."""
-    least, most = F.min(c).over(over), F.max(c).over(over)
+def between(c: Column, least: Column, most: Column, low: float, high: float) -> Column:
+    """Linear map of the range least..most onto (low, high), reversed if low > high; a single value goes to the middle."""
     return F.when(most == least, F.lit((low + high) / 2)).otherwise(F.lit(low) + F.try_divide(c - least, most - least) * F.lit(high - low))
 
 
+def rescale(c: Column, low: float, high: float, over: WindowSpec) -> Column:
+    """The map of the range within the window."""
+    return between(c, F.min(c).over(over), F.max(c).over(over), low, high)
+
+
+def standard(c: Column, mean: Column, sd: Column) -> Column:
+    """Distance from the mean in standard deviations; null where these are 0."""
+    return F.try_divide(c - mean, sd)
+
+
 def zscore(c: Column, over: WindowSpec) -> Column:
-    """Distance from the mean in sample standard deviations; null where these are 0."""
-    return F.try_divide(c - F.avg(c).over(over), F.stddev_samp(c).over(over))
+    """Distance from the mean of the window in its sample standard deviations."""
+    return standard(c, F.avg(c).over(over), F.stddev_samp(c).over(over))
 
 
 def rank_label(rank: Column, most: int, prefix: str = "cells_", rest: str = "noise") -> Column:

@@ -19,7 +19,8 @@ def levels(pairs: DataFrame) -> DataFrame:
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
-    """(true, pred, n) for all combinations of labels, zeros among them."""
+    """(true, pred, n) for all combinations of labels, zeros among them; rows without one of the labels are left out."""
+    pairs = pairs.where(F.col("true").isNotNull() & F.col("pred").isNotNull())
     n = pairs.groupBy("true", "pred").agg(F.count("*").alias("n"))
     grid = pairs.select("true").distinct().crossJoin(F.broadcast(pairs.select("pred").distinct()))
     return grid.join(n, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
@@ -53,7 +54,7 @@ def class_metrics(pairs: DataFrame, method: str) -> DataFrame:
 
 def adjusted_rand_index(pairs: DataFrame) -> DataFrame:
     """One row: ari; 1 where both sides are a single cluster."""
-    n = pairs.groupBy("true", "pred").agg(F.count("*").cast("double").alias("n"))
+    n = pairs.where(F.col("true").isNotNull() & F.col("pred").isNotNull()).groupBy("true", "pred").agg(F.count("*").cast("double").alias("n"))
     two = lambda c: c * (c - 1) / 2
     cells = n.agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("all"))
     rows = n.groupBy("true").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("a"))
@@ -63,8 +64,8 @@ def adjusted_rand_index(pairs: DataFrame) -> DataFrame:
 
 
 def _table(pairs: DataFrame) -> tuple[list, list, np.ndarray]:
-    """The contingency table on the driver: as many cells as pairs of labels, few."""
-    rows = pairs.groupBy("true", "pred").agg(F.count("*").alias("n")).limit(1_000_001).collect()
+    """The contingency table on the driver: as many cells as pairs of labels, few; rows without one of the labels are left out."""
+    rows = pairs.where(F.col("true").isNotNull() & F.col("pred").isNotNull()).groupBy("true", "pred").agg(F.count("*").alias("n")).limit(1_000_001).collect()
     if len(rows) > 1_000_000:
         raise ValueError("too many pairs of labels")
     t, p = sorted({r["true"] for r in rows}), sorted({r["pred"] for r in rows})
@@ -74,17 +75,26 @@ def _table(pairs: DataFrame) -> tuple[list, list, np.ndarray]:
     return t, p, out
 
 
+def log_factorial(n) -> np.ndarray:
+    """Natural logarithms of factorials of whole numbers: by a table up to 255, by Stirling's series beyond."""
+    n = np.asarray(n, float)
+    x = np.maximum(n, 1) + 1
+    series = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+    return np.where(n < 256, table[np.minimum(n, 255).astype(int)], series)
+
+
 def mutual_information(table: np.ndarray, average: str = "max") -> float:
     """Adjusted mutual information of a contingency table, by the exact expectation."""
     n, a, b = table.sum(), table.sum(1), table.sum(0)
     h = lambda v: -sum(x / n * math.log(x / n) for x in v if x)
     mi = sum(x / n * math.log(n * x / (a[i] * b[j])) for (i, j), x in np.ndenumerate(table) if x)
-    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    fact = log_factorial
     emi = 0.0
     for x in a.tolist():
         for y in b.tolist():
             k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            w = np.exp(fact[x] + fact[y] + fact[n - x] + fact[n - y] - fact[n] - fact[k] - fact[x - k] - fact[y - k] - fact[n - x - y + k])
+            w = np.exp(fact(x) + fact(y) + fact(n - x) + fact(n - y) - fact(n) - fact(k) - fact(x - k) - fact(y - k) - fact(n - x - y + k))
             emi += float((k / n * np.log(n * k / (x * y)) * w).sum())
     top = {"max": max, "min": min, "mean": lambda u, v: (u + v) / 2}[average](h(a), h(b))
     return 1.0 if abs(top - emi) < 1e-15 else (mi - emi) / (top - emi)

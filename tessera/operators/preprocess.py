@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import zscore
+from tessera.functions import standard
 from tessera.operators import spatial
 from tessera.operators.stats import gene_stats
 
@@ -42,7 +42,9 @@ def variable_genes(expr: DataFrame, n: int = 2000) -> DataFrame:
 
 
 def scale_genes(rows: DataFrame, value: str = "value") -> DataFrame:
-    return rows.withColumn("scaled", F.coalesce(zscore(F.col(value), Window.partitionBy("gene_id")), F.lit(0.0)))
+    """Adds the z-score of each value among those of its gene; 0 for a gene without spread."""
+    g = rows.groupBy("gene_id").agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
+    return rows.join(g, "gene_id").withColumn("scaled", F.coalesce(standard(F.col(value), F.col("_m"), F.col("_sd")), F.lit(0.0))).select(*rows.columns, "scaled")
 
 
 def wide(rows: DataFrame, value: str) -> DataFrame:
@@ -52,7 +54,7 @@ def wide(rows: DataFrame, value: str) -> DataFrame:
 
 def pca(rows: DataFrame, value: str, k: int = 30) -> tuple[DataFrame, object]:
     """(cell_id, v) scores of k components of centred values, and the model."""
-    centred = rows.withColumn("_x", F.col(value) - F.avg(value).over(Window.partitionBy("gene_id")))
+    centred = rows.join(rows.groupBy("gene_id").agg(F.avg(value).alias("_m")), "gene_id").withColumn("_x", F.col(value) - F.col("_m"))
     df = wide(centred, "_x").withColumn("_f", array_to_vector("v"))
     model = PCA(k=k, inputCol="_f", outputCol="_o").fit(df)
     return model.transform(df).select("cell_id", vector_to_array("_o").alias("v")), model
@@ -64,6 +66,11 @@ def top_loadings(model, n: int = 5, dims: int = 5) -> list[tuple[int, list[int],
     return [(d + 1, (np.argsort(-load[:, d], kind="stable")[:n] + 1).tolist(), (np.argsort(load[:, d], kind="stable")[:n] + 1).tolist()) for d in range(min(dims, load.shape[1]))]
 
 
+def elbow(scores: DataFrame) -> DataFrame:
+    """(component, sd): sample standard deviation of each component's scores."""
+    return scores.select(F.posexplode("v").alias("p", "x")).groupBy((F.col("p") + 1).alias("component")).agg(F.stddev_samp("x").alias("sd"))
+
+
 def snn_edges(scores: DataFrame, k: int = 20, prune: float = 1 / 15) -> DataFrame:
     """(src, dst, weight): Jaccard similarity of neighbour sets (the point itself and its k - 1 nearest), pruned."""
     p = scores.select(F.col("cell_id").alias("id"), "v", F.lit("0").alias("g"))

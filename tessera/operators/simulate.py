@@ -58,10 +58,35 @@ def bernoulli_dropout(counts: DataFrame, p: Column, seed: int = 123) -> DataFram
     return counts.withColumn("count", F.when(uniform(seed, "dropout", F.col("cell_id"), F.col("gene_id")) < p, F.lit(0)).otherwise(F.col("count")).cast("long"))
 
 
+#: Means up to which counts are drawn by inverting their distribution, all rows at once; above, each row has a generator.
+INVERTED = 200.0
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit keys."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _inverted(u: np.ndarray, first: np.ndarray, step) -> np.ndarray:
+    """The least k whose cumulated probability exceeds u; first: the probability of 0, step(k, rows): that of k + 1 over that of k."""
+    out, on, p = np.zeros(len(u), np.int64), np.arange(len(u)), first.copy()
+    left, k = u.copy(), 0
+    while len(on):
+        left = left - p
+        more = (left >= 0) & ((p > 1e-18) | (k < 10 * INVERTED))  # far in the tail rounding decides
+        out[on[~more]] = k
+        on, left, p = on[more], left[more], p[more]
+        p = p * step(k, on)
+        k += 1
+    return out
+
+
 def draw_counts(rows: DataFrame, seed: int, mode: str = "reference") -> DataFrame:
     """Adds count: binomial for stable genes, otherwise negative binomial (mu = log mean, size = dispersion).
 
-    Each row's draw is seeded by cell and gene, so it doesn't depend on partitions. Stable genes: n = round(e^mu / 0.1) trials
+    Each row's draw comes from a hash of cell and gene, so it doesn't depend on partitions. Stable genes: n = round(e^mu / 0.1) trials
     of 0.9 ("reference": the mean rises ninefold) or round(e^mu / 0.9) ("preserve").
     """
     share = 0.1 if mode == "reference" else 0.9
@@ -69,12 +94,18 @@ def draw_counts(rows: DataFrame, seed: int, mode: str = "reference") -> DataFram
 
     def run(batches):
         for pdf in batches:
-            mean = np.exp(np.clip(pdf["mu"].to_numpy(), -30, 20))
-            keys = (pdf["cell_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (pdf["gene_id"].to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(seed)
-            out = np.zeros(len(pdf), np.int64)
-            for i, (key, m, size, stable) in enumerate(zip(keys.tolist(), mean, pdf["dispersion"], pdf["stable"], strict=True)):
-                g = np.random.Generator(np.random.SFC64(key))
-                out[i] = g.binomial(int(np.rint(m / share)), 0.9) if stable else g.poisson(min(g.gamma(size, m / size), 1e12))
+            mean, size, stable = np.exp(np.clip(pdf["mu"].to_numpy(), -30, 20)), pdf["dispersion"].to_numpy(float), pdf["stable"].to_numpy(bool)
+            keys = _mixed(_mixed(pdf["cell_id"].to_numpy().astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 2**64 - 1)) + pdf["gene_id"].to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            u = (keys >> np.uint64(11)).astype(float) / (1 << 53)
+            out, trials = np.zeros(len(pdf), np.int64), np.rint(mean / share)
+            low = np.flatnonzero(~stable & (mean <= INVERTED))
+            ratio = mean[low] / (mean[low] + size[low])
+            out[low] = _inverted(u[low], np.exp(size[low] * np.log1p(-ratio)), lambda k, on: (k + size[low][on]) / (k + 1) * ratio[on])
+            low = np.flatnonzero(stable & (trials <= INVERTED))  # the failures
+            out[low] = trials[low] - _inverted(u[low], 0.9 ** trials[low], lambda k, on: np.maximum(trials[low][on] - k, 0) / (k + 1) / 9)
+            for i in np.flatnonzero(np.where(stable, trials, mean) > INVERTED).tolist():
+                g = np.random.Generator(np.random.SFC64(int(keys[i])))
+                out[i] = g.binomial(int(trials[i]), 0.9) if stable[i] else g.poisson(min(g.gamma(size[i], mean[i] / size[i]), 1e12))
             yield pdf.assign(count=out)[[*names, "count"]]
 
     from pyspark.sql.types import LongType, StructField, StructType
@@ -89,13 +120,14 @@ def simulate(pixels: DataFrame, params: Params | None = None) -> dict[str, DataF
     kept = intensity_clusters(threshold(pixels, p.threshold), p.k, p.seed).withColumnRenamed("intensity_cluster", "cluster")
     kept = kept.withColumn("_key", F.xxhash64("x", "y"))
     picked = stats.quota_sample(kept, "cluster", "_key", p.n_cells, p.seed)
-    cells = picked.select(F.row_number().over(Window.orderBy("cluster", "y", "x")).cast("long").alias("cell_id"), "x", "y", "value", "cluster").withColumn("name", F.concat(F.lit("cells_"), F.chr(F.lit(96) + F.col("cluster"))))
+    cells = stats.numbered(picked.select("x", "y", "value", "cluster"), "cell_id", "cluster", "y", "x").select("cell_id", "x", "y", "value", "cluster").withColumn("name", F.concat(F.lit("cells_"), F.chr(F.lit(96) + F.col("cluster"))))
     cells = cells.persist()  # read by every step below; recomputed if an executor is lost
     profile = marker_profile(spark, p.k, p.n_genes, p.markers, p.marker_effect, p.overlap_effect)
-    maps = spatial.mean_intra_distance(cells).select("cell_id", rescale(F.col("mean_dist"), *p.dispersion, stats.whole()).alias("dispersion"), rescale(F.col("mean_dist"), *p.dropout, stats.whole()).alias("dropout"))
+    maps = spatial.spatial_maps(cells, p.dispersion, p.dropout).drop("mean_dist")
     base = cells.join(F.broadcast(profile), "cluster").select("cell_id", "gene_id", "mu")
     if p.hybrids:
-        base = hybrid_mix(base, hybrid_weights(spatial.hybrid_pairs(cells, most=p.max_pairs, seed=p.seed + 1), cells, *p.hybrid_weight, p.seed), profile)
+        pairs = spatial.hybrid_pairs(cells, most=p.max_pairs, seed=p.seed + 1).persist()  # at most max_pairs rows, read twice
+        base = hybrid_mix(base, hybrid_weights(pairs, cells, *p.hybrid_weight, p.seed), profile)
     mu = F.col("mu") + normal(p.seed, "cell", F.col("cell_id"), F.col("gene_id")) * p.cell_sd
     rows = base.join(maps, "cell_id")
     if p.spatial:

@@ -1,7 +1,8 @@
 """Distances, neighbours, densities and interpolation over points.
 
 Work over pairs of points runs in blocks of bounded size: each pair of blocks is one task's unit, reduced by numpy at once, so neither a
-distance matrix nor a whole cluster is ever in one place.
+distance matrix nor a whole cluster is ever in one place. Nearest neighbours in the plane compare points of near leaves of a
+tree only, and distances within clusters points of one cluster only.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import distance, rescale
-from tessera.operators.stats import whole
+from tessera.functions import between, distance, standard
+from tessera.operators.stats import with_totals
 
 BLOCK = 2048
+#: Points that the tree of nearest neighbours is built from at most, and dimensions up to which it is used.
+TREE_SAMPLE, TREE_DIMENSIONS = 200_000, 3
+#: Points whose coordinates local_density broadcasts at most.
+BROADCAST = 4_000_000
 
 
 def points(df: DataFrame, key: str = "cell_id", columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -24,27 +29,42 @@ def points(df: DataFrame, key: str = "cell_id", columns: tuple[str, ...] = ("x",
     return df.select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), (F.col("cluster") if "cluster" in df.columns else F.lit(0)).cast("string").alias("g"))
 
 
-def by_blocks(left: DataFrame, right: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """reduce(left rows, right rows, distances) of each pair of blocks; both sides have id, v, g."""
-    right = right.select(*[F.col(c).alias(c) for c in ("id", "v", "g")])  # columns of its own, even if both sides are one table
-    n, m = (max(1, -(-d.count() // block)) for d in (left, right))
-    deal = lambda d, k, name: d.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
-    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a, b = deal(left, n, "_l").withColumn("_r", spread(m)), deal(right, m, "_r").withColumn("_l", spread(n))
+def distances(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    if not len(x) or not len(y):
+        return np.zeros((len(x), len(y)))
+    u, v = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
+    out = np.zeros((len(u), len(v)))
+    for k in range(u.shape[1]):
+        out += (u[:, k, None] - v[None, :, k]) ** 2
+    return np.sqrt(out)
+
+
+def by_blocks(left: DataFrame, right: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK, within: str | None = None) -> DataFrame:
+    """reduce(left rows, right rows, distances) of each pair of blocks; both sides have id, v, g.
+
+    within: a column of both sides; only rows of one value of it are compared. A value of many rows is cut into blocks, too.
+    """
+    group = F.col(within) if within else F.lit(0)
+    left, right = (d.select(*[F.col(c).alias(c) for c in ("id", "v", "g")], group.alias("_w")) for d in (left, right))  # columns of their own, even if both sides are one table
+    if within:
+        count = lambda d, name: d.groupBy("_w").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        sizes = count(left, "_n").join(count(right, "_m"), "_w")  # a row for each value: joined as Spark sees fit
+        sized = lambda d: d.join(sizes, "_w")
+    else:
+        n, m = (max(1, -(-d.count() // block)) for d in (left, right))
+        sized = lambda d: d.withColumns({"_n": F.lit(n), "_m": F.lit(m)})
+    deal = lambda d, k, name: d.withColumn(name, F.pmod(F.xxhash64("id"), F.col(k)).cast("int"))
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = deal(sized(left), "_n", "_l").withColumn("_r", spread("_m")).drop("_n", "_m")
+    b = deal(sized(right), "_m", "_r").withColumn("_l", spread("_n")).drop("_n", "_m")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return reduce(x, y, np.zeros((len(x), len(y))))
-        u, v = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
-        out = np.zeros((len(u), len(v)))
-        for k in range(u.shape[1]):
-            out += (u[:, k, None] - v[None, :, k]) ** 2
-        return reduce(x, y, np.sqrt(out))
+        return reduce(x, y, distances(x, y))
 
-    return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInPandas(run, schema)
+    return a.groupBy("_w", "_l", "_r").cogroup(b.groupBy("_w", "_l", "_r")).applyInPandas(run, schema)
 
 
-def cluster_distances(df: DataFrame, block: int = BLOCK) -> DataFrame:
+def cluster_distances(df: DataFrame, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(id, g, h, total, n): summed distance of each point to the points of each cluster h (itself among its own)."""
 
     def reduce(x, y, d):
@@ -52,25 +72,41 @@ def cluster_distances(df: DataFrame, block: int = BLOCK) -> DataFrame:
         sums = np.stack([d[:, place == k].sum(1) for k in range(len(names))], 1) if len(names) and len(x) else np.zeros((len(x), len(names)))
         return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(names)), "g": np.repeat(x["g"].to_numpy(), len(names)), "h": np.tile(names, len(x)), "total": sums.ravel(), "n": np.tile(np.bincount(place, minlength=len(names)), len(x))})
 
-    parts = by_blocks(df, df, reduce, "id long, g string, h string, total double, n long", block)
+    parts = by_blocks(df, df, reduce, "id long, g string, h string, total double, n long", block, within)
     return parts.groupBy("id", "g", "h").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def mean_intra_distance(cells: DataFrame) -> DataFrame:
     """Mean distance of each cell to the cells of its cluster, itself counted."""
-    return cluster_distances(points(cells)).where("g = h").select(F.col("id").alias("cell_id"), (F.col("total") / F.col("n")).alias("mean_dist"))
+    return cluster_distances(points(cells), within="g").select(F.col("id").alias("cell_id"), (F.col("total") / F.col("n")).alias("mean_dist"))
 
 
 def local_density(cells: DataFrame, q: float = 0.1) -> DataFrame:
-    """Share of all cells (itself among them) nearer than the q-quantile of a cell's distances."""
-    p = points(cells)
-
-    def reduce(x, y, d):
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(y)), "d": d.ravel()})
-
-    d = by_blocks(p, p, reduce, "id long, d double")
-    cut = d.groupBy("id").agg(F.percentile("d", F.lit(q)).alias("cut"))
-    return d.join(cut, "id").groupBy("id").agg(F.avg((F.col("d") < F.col("cut")).cast("double")).alias("density")).withColumnRenamed("id", "cell_id")
+    """Share of all cells (itself among them) nearer than the q-quantile of a cell's distances.
+
+    Every cell needs its distances to all others, so time grows with the square; the coordinates are broadcast, and no distance leaves
+    its task. More than BROADCAST cells (64 MB) are an error.
+    """
+    rows = cells.select("cell_id", "x", "y").limit(BROADCAST + 1)
+    at = rows.select("x", "y").toArrow()
+    if at.num_rows > BROADCAST:
+        raise ValueError(f"local_density compares all pairs of at most {BROADCAST} cells")
+    shared = cells.sparkSession.sparkContext.broadcast(np.stack([at.column(c).to_numpy() for c in ("x", "y")]))
+
+    def run(frames):
+        x, y = shared.value
+        for frame in frames:
+            out = []
+            for a, b in zip(frame["x"], frame["y"], strict=True):
+                d = np.sqrt((x - a) ** 2 + (y - b) ** 2)
+                low, part = np.divmod(q * (len(d) - 1), 1)
+                two = np.partition(d, [int(low), min(int(low) + 1, len(d) - 1)])
+                cut = two[int(low)] + (two[min(int(low) + 1, len(d) - 1)] - two[int(low)]) * part
+                out.append((d < cut).mean())
+            yield pd.DataFrame({"cell_id": frame["cell_id"], "density": out})
+
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).repartition(tasks).mapInPandas(run, "cell_id long, density double")
 
 
 def radius_count(cells: DataFrame, radius: float) -> DataFrame:
@@ -85,7 +121,12 @@ def radius_count(cells: DataFrame, radius: float) -> DataFrame:
 
 
 def neighbours(left: DataFrame, right: DataFrame, k: int, *, same: bool = True, block: int = BLOCK) -> DataFrame:
-    """(id, dst, dist, rank): the k nearest of the right points to each left one, ties to the lesser id; `same`: never itself."""
+    """(id, dst, dist, rank): the k nearest of the right points to each left one, ties to the lesser id; `same`: never itself.
+
+    In few dimensions a tree over the right points deals both sides to leaves of about `block` points. The neighbours in a point's own leaf bound
+    how far away others can be, and the second step compares it with the points of those leaves only that lie within this bound. In many
+    dimensions, where that would be nearly all, all pairs of blocks are compared.
+    """
 
     def reduce(x, y, d):
         if same and len(x) and len(y):
@@ -98,8 +139,80 @@ def neighbours(left: DataFrame, right: DataFrame, k: int, *, same: bool = True,
         keep = np.isfinite(dist)
         return pd.DataFrame({"id": x["id"].to_numpy()[row][keep], "dst": y["id"].to_numpy()[at][keep], "dist": dist[keep]})
 
-    best = by_blocks(left, right, reduce, "id long, dst long, dist double", block)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    schema = "id long, dst long, dist double"
+    best = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    tree = Tree.over(right, block)
+    if tree is None or len(tree.axis) == 1:  # all leaves, or the only one
+        return best(by_blocks(left, right, reduce, schema, block))
+    own = best(by_blocks(tree.leaves(left), tree.leaves(right), reduce, schema, block, "leaf"))
+    bound = own.groupBy("id").agg(F.max("dist").alias("_bound"), F.count("*").alias("_found"))
+    bound = left.join(bound, "id", "left").withColumn("_bound", F.when(F.col("_found") >= k, F.col("_bound")).otherwise(F.lit(float("inf")))).drop("_found")
+    return best(by_blocks(tree.leaves(bound, "_bound"), tree.leaves(right), reduce, schema, block, "leaf"))
+
+
+class Tree:
+    """Halvings of space by the medians of a bounded sample of points: axis and cut of each node, and the leaves' numbers."""
+
+    def __init__(self, sample: np.ndarray, size: int):
+        """Nodes of more than `size` points of the sample are halved, where their points differ."""
+        self.axis, self.cut, self.low, self.high = [], [], [], []
+        self._node(sample, max(size, 1))
+        self.axis, self.cut, self.low, self.high = (np.array(x) for x in (self.axis, self.cut, self.low, self.high))
+
+    def _node(self, sample: np.ndarray, size: int) -> int:
+        i = len(self.axis)
+        for x in (self.axis, self.cut, self.low, self.high):
+            x.append(-1)
+        span = np.ptp(sample, axis=0) if len(sample) else np.zeros(1)
+        if len(sample) > size and span.max() > 0:
+            axis = int(span.argmax())
+            cut = float(np.median(sample[:, axis]))
+            if cut <= sample[:, axis].min():  # many equal ones: cut above them
+                cut = float(sample[:, axis][sample[:, axis] > cut].min())
+            low = sample[:, axis] < cut
+            self.axis[i], self.cut[i] = axis, cut
+            self.low[i], self.high[i] = self._node(sample[low], size), self._node(sample[~low], size)
+        return i
+
+    @classmethod
+    def over(cls, points_: DataFrame, block: int) -> Tree | None:
+        """A tree with leaves of about `block` points; None for points of many dimensions."""
+        some = points_.select(F.size("v").alias("d")).first()
+        if some is None or some["d"] > TREE_DIMENSIONS:
+            return None
+        n = points_.count()
+        sample = points_.where(F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 30)) < (1 << 30) * min(1.0, TREE_SAMPLE / max(n, 1))).select("v").limit(2 * TREE_SAMPLE).toPandas()["v"]
+        v = np.stack(sample.to_numpy()).astype(float) if len(sample) else np.zeros((0, some["d"]))
+        return cls(v, block * len(v) // max(n, 1))
+
+    def find(self, v: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf within the radius of each row's point."""
+        rows, leaves, todo = [], [], [(0, np.arange(len(v)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if self.axis[node] < 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), node))
+                continue
+            off = v[at, self.axis[node]] - self.cut[node]
+            reach = radius[at] * (1 + 1e-12)  # distances are rounded
+            todo.append((self.low[node], at[(off < 0) | (off <= reach)]))
+            todo.append((self.high[node], at[(off >= 0) | (-off <= reach)]))
+        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int),) * 2
+
+    def leaves(self, rows: DataFrame, radius: str | None = None) -> DataFrame:
+        """id, v and g of each row, with the leaf its point lies in, or one row for each leaf within a radius."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+
+        def run(frames):
+            for frame in frames:
+                v = np.stack(frame["v"].to_numpy()).astype(float) if len(frame) else np.zeros((0, 1))
+                row, leaf = shared.value.find(v, frame[radius].to_numpy(float) if radius else np.full(len(frame), -1.0))
+                yield frame[["id", "v", "g"]].iloc[row].assign(leaf=leaf.astype(np.int64))
+
+        return rows.mapInPandas(run, "id long, v array<double>, g string, leaf long")
 
 
 def knn(cells: DataFrame, k: int = 19) -> DataFrame:
@@ -131,8 +244,9 @@ def nearest_centroid(cells: DataFrame) -> DataFrame:
 
 def spatial_maps(cells: DataFrame, dispersion: tuple[float, float] = (5.0, 0.5), dropout: tuple[float, float] = (0.1, 0.5)) -> DataFrame:
     """Dispersion and dropout of each cell, linear in its mean distance over the range of all cells."""
-    d = mean_intra_distance(cells)
-    return d.select("cell_id", "mean_dist", rescale(F.col("mean_dist"), *dispersion, whole()).alias("dispersion"), rescale(F.col("mean_dist"), *dropout, whole()).alias("dropout"))
+    d = with_totals(mean_intra_distance(cells).persist(), _low=F.min("mean_dist"), _high=F.max("mean_dist"))
+    scaled = lambda ends: between(F.col("mean_dist"), F.col("_low"), F.col("_high"), *ends)
+    return d.select("cell_id", "mean_dist", scaled(dispersion).alias("dispersion"), scaled(dropout).alias("dropout"))
 
 
 def distance_summary(cells: DataFrame) -> DataFrame:
@@ -167,15 +281,14 @@ def idw(cells: DataFrame, value: str, n: int = 100, k: int = 30, power: float =
 
 def gaussian_field(cells: DataFrame, scale: float, seed: int = 123, waves: int = 256) -> DataFrame:
     """A field with covariance exp(-d / scale), z-scored: random Fourier features, a column expression over a few constants."""
-    from tessera.functions import zscore
-
     rng = np.random.default_rng(seed)
     # frequencies of a bivariate Cauchy: normal over the root of a chi-square of one degree
     w = rng.standard_normal((waves, 2)) / np.abs(rng.standard_normal((waves, 1))) / scale
     b = rng.uniform(0, 2 * np.pi, waves)
     at = F.array(*[F.struct(F.lit(float(u)).alias("u"), F.lit(float(v)).alias("v"), F.lit(float(c)).alias("c")) for (u, v), c in zip(w, b, strict=True)])
     raw = F.aggregate(at, F.lit(0.0), lambda s, t: s + F.cos(t["u"] * F.col("x") + t["v"] * F.col("y") + t["c"]))
-    return cells.withColumn("_f", raw).select("cell_id", zscore(F.col("_f"), whole()).alias("field"))
+    rows = with_totals(cells.select("cell_id", raw.alias("_f")), _mean=F.avg("_f"), _sd=F.stddev_samp("_f"))
+    return rows.select("cell_id", standard(F.col("_f"), F.col("_mean"), F.col("_sd")).alias("field"))
 
 
 def silhouette(df: DataFrame, key: str = "cell_id", columns: tuple[str, ...] = ("x", "y")) -> DataFrame:

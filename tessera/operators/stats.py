@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import half_even, ratio, uniform, zscore
 
+
 def whole():
-    """A window over all rows: for small tables (groups, genes, cells of one dataset)."""
+    """A window over all rows: for small tables (groups or genes); with_totals() for others."""
     return Window.partitionBy(F.lit(1))
 
 
+def with_totals(df: DataFrame, **totals) -> DataFrame:
+    """The rows with aggregates of all of them: one row, broadcast."""
+    return df.crossJoin(F.broadcast(df.agg(*[c.alias(name) for name, c in totals.items()])))
+
+
 def frequencies(df: DataFrame, by: str) -> DataFrame:
     """Count, share and percentage of each value."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
@@ -27,7 +33,9 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 123)
     """Proportional sample without replacement: round-half-even(share x n) rows of each stratum, as far as it has them."""
     quota = frequencies(df, stratum).select(stratum, F.least(half_even(F.col("freq") * n), F.col("n")).alias("quota"))
     order = Window.partitionBy(stratum).orderBy(uniform(seed, "sample", F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(order)).join(F.broadcast(quota), stratum).where("_r <= quota").drop("_r", "quota")
+    # no quota is over n: each partition keeps its first n rows of a stratum, so a large stratum never meets in one task
+    first = df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    return first.join(quota, stratum).where("_r <= quota").drop("_r", "quota")
 
 
 def cap_sample(df: DataFrame, by: str, key: str, most: int, seed: int = 42) -> DataFrame:
@@ -101,15 +109,32 @@ def gene_correlation(expr: DataFrame) -> DataFrame:
     return a.join(b, "cell_id").where("g1 < g2").groupBy("g1", "g2").agg(F.corr("a", "b").alias("r"))
 
 
+def running(counts: DataFrame, value: str, n: str, out: str) -> DataFrame:
+    """Adds the sum of n over all lesser values: sums within ranges of the values, and the sums of the ranges before, which are few."""
+    ranged = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()).persist()
+    ends = ranged.groupBy("_part").agg(F.sum(n).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn(out, within).join(F.broadcast(ends.select("_part", "_before")), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """Adds 1, 2, ... in the order of some columns: places within ranges, and the sizes of the ranges before, which are few."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ends = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(out, place.cast("long")).join(F.broadcast(ends.select("_part", "_before")), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank with ties at their mean."""
-    n = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.select(value, (before + (F.col("_n") + 1) / 2).alias(out)), value)
+    n = running(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_less")
+    return df.join(n.select(value, (F.col("_less") + (F.col("_n") + 1) / 2).alias(out)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return average_rank(average_rank(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    """rho of two columns, over the rows that have both; these are kept, since ranks read them again."""
+    rows = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).persist()
+    return average_rank(average_rank(rows, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
