@@ -60,26 +60,27 @@ def gene_correlations(sim: DataFrame, ref: DataFrame, top: int = 50, value: str
     Of the genes that are among the `top` most variable of either side, if there are at least `least`; else of each side's own top genes. value: the
     column that is correlated ("count", or a normalised layer).
     """
-    tops = [preprocess.variable_genes(df, top).select("gene_id").persist() for df in (sim, ref)]
-    common = tops[0].join(tops[1], "gene_id", "left_semi").persist()
-    if common.limit(least).count() >= least:
+    tops = [[r.gene_id for r in preprocess.variable_genes(df, top).select("gene_id").collect()] for df in (sim, ref)]  # at most `top` a side
+    common = sorted(set(tops[0]) & set(tops[1]))
+    if len(common) >= least:
         tops = [common, common]
     out = None
     for df, genes, name in ((sim, tops[0], "SIM"), (ref, tops[1], "REF")):
-        rows = df.join(F.broadcast(genes), "gene_id", "left_semi").select("cell_id", "gene_id", F.col(value).alias("count"))
+        rows = df.where(F.col("gene_id").isin(genes)).select("cell_id", "gene_id", F.col(value).alias("count"))
         both = F.explode(F.array(F.struct(F.col("g1").alias("Gene1"), F.col("g2").alias("Gene2")), F.struct(F.col("g2").alias("Gene1"), F.col("g1").alias("Gene2")))).alias("p")
-        part = stats.gene_correlation(rows).select(both, F.col("r").alias("Corr")).select("p.*", "Corr").union(genes.select("gene_id", "gene_id", F.lit(1.0))).withColumn("Dataset", F.lit(name))
+        part = stats.gene_correlation(rows).select(both, F.col("r").alias("Corr")).select("p.*", "Corr")
+        part = part.union(rows.select("gene_id", F.col("gene_id").alias("g"), F.lit(1.0).alias("r")).distinct()).withColumn("Dataset", F.lit(name))
         out = part if out is None else out.union(part)
     return out
 
 
 def matrix_similarity(correlations: DataFrame) -> DataFrame:
     """rho: Spearman correlation of the upper triangles of both matrices; genes are matched by place in their order, as far as both sides have them."""
-    place = correlations.select("Dataset", F.col("Gene1").alias("g")).distinct().withColumn("p", F.row_number().over(Window.partitionBy("Dataset").orderBy("g")))  # at most `top` rows a side
-    rows = correlations.join(F.broadcast(place.select("Dataset", F.col("g").alias("Gene1"), F.col("p").alias("i"))), ["Dataset", "Gene1"])
-    rows = rows.join(F.broadcast(place.select("Dataset", F.col("g").alias("Gene2"), F.col("p").alias("j"))), ["Dataset", "Gene2"]).where("i < j")
-    side = lambda name, out: rows.where(F.col("Dataset") == name).select("i", "j", F.col("Corr").alias(out))
-    return stats.spearman(side("SIM", "r").join(side("REF", "q"), ["i", "j"]), "r", "q")
+    genes = {name: sorted(r.g for r in correlations.where(F.col("Dataset") == name).select(F.col("Gene1").alias("g")).distinct().collect()) for name in ("SIM", "REF")}  # two matrices' rows
+    place = lambda c: F.when(F.col("Dataset") == "SIM", F.array_position(F.lit(genes["SIM"] or [0]), F.col(c))).otherwise(F.array_position(F.lit(genes["REF"] or [0]), F.col(c)))
+    rows = correlations.select("Dataset", "Corr", place("Gene1").alias("i"), place("Gene2").alias("j")).where("i < j")
+    side = lambda name: F.max(F.when(F.col("Dataset") == name, F.col("Corr")))
+    return stats.spearman(rows.groupBy("i", "j").agg(side("SIM").alias("r"), side("REF").alias("q")), "r", "q")
 
 
 def correlation_of_correlations(sim: DataFrame, ref: DataFrame, top: int = 50) -> DataFrame:
