@@ -100,6 +100,20 @@ WITH split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coal
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM split LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)""",
+    "op7_line_dedup": """
+WITH cut AS (SELECT doc_id, text IS NULL AS empty, string_split(coalesce(text, ''), chr(10)) AS s FROM documents
+), lines AS (
+  SELECT row_number() OVER (ORDER BY doc_id, i) AS id, doc_id, empty, i, l, list_distinct(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT doc_id, empty, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS l FROM cut)
+), words AS (SELECT id, len(w) AS n, unnest(w) AS t FROM lines
+), prefix AS (
+  SELECT id, n, t FROM (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY c, t) AS r FROM words JOIN (SELECT t, count(*) AS c FROM words GROUP BY t) USING (t)) WHERE r <= n - (80 * n + 99) // 100 + 1
+), near AS (SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), shared AS (SELECT y, len(list_intersect(p.w, q.w)) AS o, len(p.w) + len(q.w) AS n FROM near JOIN lines p ON p.id = x JOIN lines q ON q.id = y
+), gone AS (SELECT DISTINCT y AS id FROM shared WHERE 100 * o >= 80 * (n - o)
+)
+SELECT doc_id, count(*) AS n_lines, count(g.id) AS n_removed, CASE WHEN empty THEN NULL ELSE sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE g.id IS NULL), '')) END AS kept_sha256
+FROM lines LEFT JOIN gone g USING (id) GROUP BY doc_id, empty""",
     "op2_ngram_join": """
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
